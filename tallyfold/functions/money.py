@@ -97,35 +97,59 @@ def _exponent(micros: Column) -> Column:
     return F.length(micros.cast("string")) - F.lit(7)
 
 
+def _let(value: Column, then) -> Column:
+    """Evaluate ``value`` once and hand it on; display text is long, so it is built in steps."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _half_even_units(micros: Column, unit: Column) -> Column:
-    whole = F.call_function("div", micros, unit)
-    rest = micros % unit
+    """Nearest multiple of ``unit``, halves to the even one."""
+    whole, rest = F.call_function("div", micros, unit), micros % unit
     up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
-    return (whole + F.when(up, 1).otherwise(0)) * unit
+    return (whole + up.cast("bigint")) * unit
 
 
 def _pow10(exponent: Column) -> Column:
     return F.pow(F.lit(10.0), exponent).cast("bigint")
 
 
+def _dollars(micros: Column) -> Column:
+    return micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(8,0)")
+
+
 def format_micros(micros: Column, figures: Column) -> Column:
-    """Dollars with no more digits than ``figures`` supports, never finer than a cent."""
+    """Dollars with no more digits than ``figures`` supports, never finer than a cent.
+
+    First to the places behind the point that the figures leave (two at most), then, when they
+    do not even reach the point, to the digits left of it.
+    """
     size = F.abs(micros)
-    sign = F.when(micros < 0, "-").otherwise("")
-    exponent = _exponent(size)
-    spare = figures - 1 - exponent
-    decimals = F.greatest(F.lit(0), F.least(F.lit(2), spare))
-    unit = _pow10(F.lit(6) - decimals)
-    first = _half_even_units(size, unit)
-    # Coarser than whole dollars: the second rounding zeroes the digits left of the point.
-    step = _pow10(F.greatest(F.lit(6), F.lit(6) - spare))
-    rounded = F.when(spare < 0, _half_even_units(first, step)).otherwise(first)
-    dollars = rounded.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(8,0)")
-    text = (
-        F.when(decimals == 0, F.format_number(dollars, 0))
-        .when(decimals == 1, F.format_number(dollars, 1))
-        .otherwise(F.format_number(dollars, 2))
+    spare = _let(size, lambda s: figures - 1 - _exponent(s))
+    decimals = _let(spare, lambda s: F.greatest(F.lit(0), F.least(F.lit(2), s)))
+    plan = F.struct(
+        size.alias("size"), decimals.alias("decimals"), _pow10(F.lit(6) - decimals).alias("unit"),
+        _let(spare, lambda s: _pow10(F.greatest(F.lit(6), F.lit(6) - s))).alias("step"),
+    )
+    near = _let(
+        plan,
+        lambda p: F.struct(
+            _half_even_units(p["size"], p["unit"]).alias("first"), p["step"].alias("step"), p["decimals"].alias("decimals")
+        ),
+    )
+    shown = _let(
+        near,
+        lambda n: F.struct(
+            F.when(n["step"] > 1_000_000, _half_even_units(n["first"], n["step"])).otherwise(n["first"]).alias("value"),
+            n["decimals"].alias("decimals"),
+        ),
     )
+    text = _let(
+        shown,
+        lambda n: F.when(n["decimals"] == 0, F.format_number(_dollars(n["value"]), 0))
+        .when(n["decimals"] == 1, F.format_number(_dollars(n["value"]), 1))
+        .otherwise(F.format_number(_dollars(n["value"]), 2)),
+    )
+    sign = F.when(micros < 0, "-").otherwise("")
     return (
         F.when(micros == 0, "$0.00")
         .when(size < 5000, F.concat(sign, F.lit("<$0.01")))
@@ -137,26 +161,42 @@ def axis_label(micros: Column) -> Column:
     """Scale mark: whole amounts in full, sub-dollar amounts to their leading digit."""
     size = F.abs(micros)
     sign = F.when(micros < 0, "-").otherwise("")
-    dollars = size.cast("decimal(19,0)") / F.lit(1_000_000).cast("decimal(8,0)")
-    full = F.regexp_replace(
-        F.regexp_replace(dollars.cast("decimal(25,6)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""
-    )
+    plain = _dollars(size).cast("decimal(25,6)").cast("string")
+    full = F.regexp_replace(F.rtrim(plain, F.lit("0")), r"\.$", "")
     places = F.lit(7) - F.length(size.cast("string"))
-    lead = _half_even_units(size, _pow10(F.lit(6) - places)).cast("decimal(19,0)") / F.lit(1_000_000).cast(
-        "decimal(8,0)"
+    lead = _let(
+        F.struct(size.alias("size"), _pow10(F.greatest(F.lit(0), F.lit(6) - places)).alias("unit")),
+        lambda p: _dollars(_half_even_units(p["size"], p["unit"])).cast("decimal(25,6)").cast("string"),
     )
-    small = F.substr(lead.cast("decimal(25,6)").cast("string"), F.lit(1), places + F.lit(2))
     return (
         F.when(micros == 0, "$0")
         .when(size >= 1_000_000, F.concat(sign, F.lit("$"), full))
-        .otherwise(F.concat(sign, F.lit("$"), small))
+        .otherwise(F.concat(sign, F.lit("$"), F.substr(lead, F.lit(1), places + F.lit(2))))
     )
 
 
 def format_share(share: Column) -> Column:
-    return F.when(
-        (share >= 0.001) | (share <= 0), F.format_string("%.1f%%", share * 100)
-    ).otherwise("<0.1%")
+    """Percent with one place, rounded from the exact binary value; '<0.1%' below a thousandth.
+
+    Percentages from 0.1 to 100 are whole multiples of 2**-56, so the rounding is done on integers.
+    """
+    percent = share * 100
+    unit = F.lit(2**56).cast("decimal(18,0)")
+    tenths = _let(
+        (percent * F.lit(float(2**56))).cast("bigint").cast("decimal(19,0)") * F.lit(10).cast("decimal(2,0)"),
+        lambda m: F.call_function("div", m, unit)
+        + F.when(
+            ((m % unit) * 2 > unit) | (((m % unit) * 2 == unit) & (F.call_function("div", m, unit) % 2 == 1)), 1
+        ).otherwise(0),
+    )
+    exact = F.concat(
+        F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%")
+    )
+    return (
+        F.when((share > 0) & (share < 0.001), "<0.1%")
+        .when((share > 0) & (percent <= 100), exact)
+        .otherwise(F.format_string("%.1f%%", percent))
+    )
 
 
 def share_of(part: Column, total: Column) -> Column:
