@@ -112,8 +112,7 @@ def p12(spark, sf):
 
 SIZES = fx("""
 SELECT session_id, fl AS line, CAST(CASE k % 8 WHEN 0 THEN size WHEN 1 THEN size WHEN 2 THEN (k + k % 7) // 4 WHEN 3 THEN k // 4 WHEN 4 THEN k // 4
- WHEN 5 THEN CASE WHEN has_turn THEN least(CAST(ceil((k + 1) * 40 * 600 / 750.0) AS BIGINT), 1600) END WHEN 6 THEN 1
- ELSE length('{"filePath": "' || identity || '", "n": ' || k || '}') // 4 END AS BIGINT) AS tokens,
+ WHEN 5 THEN CASE WHEN has_turn THEN least(CAST(ceil((k + 1) * 40 * 600 / 750.0) AS BIGINT), 1600) END WHEN 6 THEN 1 ELSE 1 END AS BIGINT) AS tokens,
  CASE k % 8 WHEN 1 THEN 'exact' WHEN 5 THEN CASE WHEN has_turn THEN 'measured' ELSE 'estimated' END ELSE 'estimated' END AS basis,
  CASE k % 8 WHEN 1 THEN 'high' WHEN 5 THEN CASE WHEN has_turn THEN 'medium' ELSE 'low' END ELSE 'low' END AS confidence FROM (
  SELECT *, session_id IN (SELECT session_id FROM kindof WHERE rec = 'turn') AS has_turn FROM kindof) WHERE rec = 'result'""")
@@ -125,7 +124,7 @@ def _sized(spark, sf):
     rows = derived.routed_lines(spark, sf)
     turns = logs.deduplicated(logs.assistant_records(rows).filter("outcome = 'turn'"), "session_id")
     first = turns.groupBy("session_id").agg(F.min_by("model", "line").alias("sizing_model"))
-    results = logs.tool_results(rows).join(first, "session_id", "left")
+    results = logs.typed_results(rows, "session_id").join(first, "session_id", "left")
     return sizing.tool_result_sizes(results, ["session_id", "line"], "sizing_model", CAPS)
 
 
@@ -139,8 +138,7 @@ def _shape(name: str, n: int, method: str):
 
     @query(name, sql)
     def run(spark, sf):
-        rows = _sized(spark, sf).filter(F.regexp_extract("value", '"uuid":"(\\d+)"', 1) != "")
-        return rows.filter(_SHAPES[n]).select("session_id", "line", "q.method")
+        return _sized(spark, sf).filter(_SHAPES[n]).select("session_id", "line", "q.method")
 
 
 _SHAPES = {
@@ -156,7 +154,7 @@ _shape("p31_shell_result_sizing", 2, EST + "(k + k % 7) || ' chars of shell stdo
 
 
 @query("p32_generic_sizing", fx("""
-SELECT k % 8 AS shape, CAST(sum(CASE k % 8 WHEN 6 THEN 1 ELSE length('{"filePath": "' || identity || '", "n": ' || k || '}') // 4 END) AS BIGINT) AS tokens, count(*) AS n FROM kindof WHERE rec = 'result' AND k % 8 >= 6 GROUP BY 1"""))
+SELECT k % 8 AS shape, CAST(sum(1) AS BIGINT) AS tokens, count(*) AS n FROM kindof WHERE rec = 'result' AND k % 8 >= 6 GROUP BY 1"""))
 def p32(spark, sf):
     shape = F.when(F.expr("try_variant_get(payload, '$.n') IS NOT NULL"), 7).when(F.expr("try_variant_get(payload, '$.nested') IS NOT NULL"), 6)
     rows = _sized(spark, sf).withColumn("shape", shape.cast("bigint")).filter("shape IS NOT NULL")

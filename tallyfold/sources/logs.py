@@ -13,6 +13,7 @@ from tallyfold.operators import changes as ch
 from tallyfold.operators import sizing as sz
 from tallyfold.operators import turns as tn
 from tallyfold.operators.sizing import first_string, is_array, is_object, strict_int, vstr, vtype
+from tallyfold.session import cut
 
 # --- scan -----------------------------------------------------------------------------------
 
@@ -388,12 +389,27 @@ class Parsed:
 
 
 def parse(rows: DataFrame, log: str) -> Parsed:
+    """Typed records, each kind written once: what follows reads columns, not JSON."""
+    keep = [log, "path", "line"]
+    turns = assistant_records(rows).filter("outcome = 'turn'").select(
+        *keep, "uuid", "message_id", "request_id", "version", "timestamp", *TURN_COLUMNS
+    )
+    bounds = compactions(rows).filter("outcome = 'compaction'").select(
+        *keep, "uuid", "pre_tokens", "post_tokens", "cumulative_tokens", "preserved"
+    )
     return Parsed(
-        turns=assistant_records(rows).filter("outcome = 'turn'"),
-        results=tool_results(rows),
-        attachments=attachments(rows),
-        compactions=compactions(rows).filter("outcome = 'compaction'"),
-        damage=damage(rows, log),
+        turns=cut(turns), results=typed_results(rows, log),
+        attachments=cut(attachments(rows).drop("v", "value", "kind", "route")),
+        compactions=cut(bounds), damage=damage(rows, log),
+    )
+
+
+def typed_results(rows: DataFrame, log: str) -> DataFrame:
+    return cut(
+        tool_results(rows).select(
+            log, "path", "line", "uuid", "tool_use_id", "tool_name", "payload", "content", "payload_walk", "content_walk",
+            "text_length", "identity", "cwd",
+        )
     )
 
 
@@ -490,7 +506,7 @@ def canonical(parsed: Parsed, log: str, project: Column | None = None, caps: dic
     out = turns
     for part in (from_results, attached, bounds):
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.withColumn("pinned", no)
+    return cut(out.withColumn("pinned", no))
 
 
 def survivors_of(inj: DataFrame, comps: DataFrame) -> DataFrame:
