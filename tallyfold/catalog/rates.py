@@ -1 +1,33 @@
-"""Queries."""
+"""Rate-table queries: the table's use, its fingerprint and its age against the turns it prices."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyfold.catalog.ev import model
+from tallyfold.catalog.ev_sql import ev_sql
+from tallyfold.catalog.registry import query
+from tallyfold.functions import fixed
+from tallyfold.sources import events
+
+
+@query("s21_rate_fingerprint", ev_sql("""
+SELECT substr(sha256(string_agg(x, '|' ORDER BY x)), 1, 16) AS print FROM (SELECT DISTINCT model || ':' || input_rate || '/' || output_rate || '/' || coalesce(CAST(threshold AS VARCHAR), 'None') AS x FROM turns)"""))
+def s21(spark, sf):
+    """Digest of the rates that price the turns; the distinct rates are as few as the models."""
+    used = model(spark, sf).turns.select(
+        F.concat(
+            "model", F.lit(":"), F.concat_ws("/", "input_rate", "output_rate", F.coalesce(F.col("threshold").cast("string"), F.lit("None")))
+        ).alias("x")
+    )
+    return used.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set("x")), "|"), 256), 1, 16).alias("print"))
+
+
+@query("p27_stale_rates_flag", f"""
+SELECT user_id AS session_id, CAST(date_diff('day', DATE '2023-10-15', CAST(max(ts) AS DATE)) AS BIGINT) AS age_days,
+ date_diff('day', DATE '2023-10-15', CAST(max(ts) AS DATE)) >= {fixed.STALE_AFTER_DAYS} AS stale FROM events GROUP BY 1""")
+def p27(spark, sf):
+    """Age of a table published on a fixed day at the end of each session."""
+    last = events.raw_events(spark, sf).groupBy(F.col("user_id").alias("session_id")).agg(F.to_date(F.max("ts")).alias("d"))
+    age = F.datediff("d", F.lit("2023-10-15").cast("date")).cast("bigint")
+    return last.select("session_id", age.alias("age_days"), (age >= fixed.STALE_AFTER_DAYS).alias("stale"))

@@ -1 +1,56 @@
-"""Queries."""
+"""Stored-result queries: freshness and incremental recomputation of the events binding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyfold.catalog.ev import model
+from tallyfold.catalog.ev_sql import ev_sql
+from tallyfold.catalog.registry import query
+from tallyfold.operators import ledger as lg
+from tallyfold.operators import stored as st
+from tallyfold.sources import events
+
+BEFORE = "2024-01-20 00:00:00"
+PRINTS = f"""
+WITH now AS (SELECT user_id AS session_id, count(*) || ':' || max(event_id) AS print FROM events GROUP BY 1),
+old AS (SELECT user_id AS session_id, count(*) || ':' || max(event_id) AS print FROM events WHERE ts < TIMESTAMP '{BEFORE}' AND user_id % 10 <> 0 GROUP BY 1)
+"""
+
+
+def _prints(spark, sf):
+    raw = events.raw_events(spark, sf)
+    now = st.fingerprints(raw)
+    old = st.fingerprints(raw.filter((F.col("ts") < F.lit(BEFORE).cast("timestamp")) & (F.col("user_id") % 10 != 0)))
+    return now, old
+
+
+@query("s19_freshness_check", PRINTS + """
+SELECT session_id, CASE WHEN o.print IS NULL THEN 'absent' WHEN o.print = n.print THEN 'current' ELSE 'stale' END AS state FROM now n LEFT JOIN old o USING (session_id)""")
+def s19(spark, sf):
+    return st.freshness(*_prints(spark, sf))
+
+
+@query("s20_incremental_sessions", PRINTS + "SELECT session_id FROM now WHERE (session_id, print) NOT IN (SELECT (session_id, print) FROM old)")
+def s20(spark, sf):
+    """The sessions a run recomputes: their key is not stored."""
+    return st.to_recompute(*_prints(spark, sf))
+
+
+@query("s24_coverage_note", ev_sql("""
+SELECT session_id, 'covers through turn ' || n_turns AS note FROM nt""", before=BEFORE))
+def s24(spark, sf):
+    turns = model(spark, sf, before=BEFORE).turns
+    return turns.groupBy("session_id").agg(
+        F.concat(F.lit("covers through turn "), F.count(F.lit(1)).cast("string")).alias("note")
+    )
+
+
+@query("r3_restored_row_check", ev_sql("""
+SELECT session_id, CAST(total_micros AS BIGINT) AS total_micros, TRUE AS reconciles FROM rec""", before=BEFORE))
+def r3(spark, sf):
+    """Stored facts summed again against the stored index before they are served."""
+    m = model(spark, sf, before=BEFORE)
+    rec = lg.reconcile(m.turns, m.attributions)
+    ok = F.col("attributed_micros") + F.col("unattributed_micros") == F.col("total_micros")
+    return rec.select("session_id", "total_micros", ok.alias("reconciles"))
