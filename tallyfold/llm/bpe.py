@@ -22,14 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import pick
+from tallyfold.llm.common import Memo, pick, read_vocabulary
 
 #: The splitting pattern of byte-level BPE files.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space at which a text must not be cut: white space stands before it and it is not the last of its run.
 _UNCUT = regex.compile(r"\s (?:\s|$)")
-#: Vocabulary files above this size are not broadcast.
-MAX_FILE_BYTES = 64 << 20
 NEVER = 1 << 60
 
 
@@ -40,38 +38,9 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def read_file(path: str) -> str:
-    with open(path, "rb") as f:
-        data = f.read(MAX_FILE_BYTES + 1)
-    if len(data) > MAX_FILE_BYTES:
-        raise ValueError(f"{path} is larger than {MAX_FILE_BYTES} bytes")
-    return data.decode()
-
-
 Encoded = tuple[str, int, bytes]
 
 
-class Memo:
-    """A bounded memo of two generations: what was asked for lately stays."""
-
-    def __init__(self, most: int, longest: int = 64) -> None:
-        self.new, self.old, self.half, self.longest = {}, {}, most // 2, longest
-
-    def get(self, key):
-        got = self.new.get(key)
-        if got is None and self.old:
-            got = self.old.get(key)
-            if got is not None:
-                self.put(key, got)
-        return got
-
-    def put(self, key, value) -> None:
-        if len(key) <= self.longest:
-            if len(self.new) >= self.half:
-                self.old, self.new = self.new, {}
-            self.new[key] = value
-
-
 class Codec:
     """Encoder and decoder of one byte-level BPE file."""
 
@@ -233,7 +202,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     Repeated rows and null ids are kept; columns other than doc_id and text are ignored.
     ``vocabulary`` is the path of a tokenizers file, read once on the driver.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(read_file(vocabulary))
+    sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary).decode())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(sent.value)
@@ -248,7 +217,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """As ``encode``, with ids and decoded text as SHA-256 digests taken in the same pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(read_file(vocabulary))
+    sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary).decode())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(sent.value)

@@ -37,3 +37,37 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+#: Vocabulary files above this size are not broadcast.
+MAX_VOCABULARY_BYTES = 64 << 20
+
+
+def read_vocabulary(path: str) -> bytes:
+    """A vocabulary file's bytes, read on the driver; too large a file is an error."""
+    with open(path, "rb") as f:
+        data = f.read(MAX_VOCABULARY_BYTES + 1)
+    if len(data) > MAX_VOCABULARY_BYTES:
+        raise ValueError(f"{path} is larger than {MAX_VOCABULARY_BYTES} bytes")
+    return data
+
+
+class Memo:
+    """A bounded memo of two generations: what was asked for lately stays."""
+
+    def __init__(self, most: int, longest: int = 64) -> None:
+        self.new, self.old, self.half, self.longest = {}, {}, most // 2, longest
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None and self.old:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(key) <= self.longest:
+            if len(self.new) >= self.half:
+                self.old, self.new = self.new, {}
+            self.new[key] = value

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, wu_manber
+from tallyfold.llm import bpe, reshard, unigram, wu_manber
 from tallyfold.llm.common import table
 
+SHARDS = 24
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,12 +20,31 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return wu_manber.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op7_reshard(spark: SparkSession, sf: str) -> DataFrame:
+    """The old layout is that of the table's files: a file's name decides its shard."""
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        F.pmod(F.crc32(F.col("_metadata.file_name").cast("binary")), F.lit(SHARDS)).cast("int").alias("old"),
+    )
+    out = reshard.reshard(docs, SHARDS)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Query] = {
     "op4_decontaminate": op4_decontaminate,
+    "op2_token_counts": op2_token_counts,
+    "op7_reshard": op7_reshard,
     "op8_bpe": op8_bpe,
 }
 
