@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, reshard, unigram, wu_manber
+from tallyfold.llm import bpe, reshard, unigram, warc, wu_manber
 from tallyfold.llm.common import table
 
 SHARDS = 24
@@ -41,11 +41,18 @@ def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive(table(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op4_decontaminate": op4_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op7_reshard": op7_reshard,
     "op8_bpe": op8_bpe,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
