@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, jaccard, reshard, unigram, warc, wu_manber
+from tallyfold.llm import bpe, jaccard, reshard, toxicity, unigram, warc, wu_manber
 from tallyfold.llm.common import table
 
 SHARDS = 24
@@ -20,6 +20,10 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return wu_manber.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op6_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf, "documents"))
 
@@ -54,6 +58,7 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op4_decontaminate": op4_decontaminate,
     "op2_token_counts": op2_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_near_copies": op6_near_copies,
     "op7_reshard": op7_reshard,
     "op8_bpe": op8_bpe,
