@@ -1,4 +1,7 @@
-"""A corpus pipeline of five operators; each stage reads what the one before wrote."""
+"""A corpus pipeline of five operators; each stage reads what the one before wrote.
+
+Documents are told apart by doc_id. Of rows that share an id, or have none, each is judged by its own text.
+"""
 
 from __future__ import annotations
 
@@ -6,28 +9,69 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, wu_manber
-from tallyfold.llm.common import fresh_path, table
+from tallyfold.llm import bpe, jaccard, secrets, toxicity, wu_manber
+from tallyfold.llm.common import fresh_path, saved, table
 
 #: No stage but the last can be said in SQL; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    """``docs``, written, with a number for each row in the place of the id, and the columns to give back."""
+    names = docs.columns
+    rows = docs.withColumnRenamed("doc_id", "own_id").withColumn("doc_id", F.monotonically_increasing_id())
+    return saved(rows, label), names
+
+
+def _kept(rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """Rows whose number is not in ``gone``, as they came."""
+    left = rows.join(gone.select("doc_id"), "doc_id", "left_anti")
+    return left.drop("doc_id").withColumnRenamed("own_id", "doc_id").select(*names)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are scored toxic go; the model is learned from labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels")
+    settings = toxicity.Settings()
+    known = labels.where(toxicity.fold() != toxicity.HELD_OUT)
+    model = toxicity.train(toxicity.sample(docs, known, settings.train_rows), settings)
+    rows, names = _numbered(docs, "pipeline-toxicity")
+    return _kept(rows, toxicity.scores(rows, model).where(F.col("score") >= toxicity.LEAST_SCORE), names)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays: the one with the smallest id (of equal ids, one row)."""
+    rows, names = _numbered(docs, "pipeline-near-copies")
+    found = jaccard.near_copies(rows)
+    own = rows.select("doc_id", "own_id").join(found, "doc_id")
+    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "doc_id")).alias("first"))
+    gone = own.join(first, "component_id").where(F.col("doc_id") != F.col("first.doc_id"))
+    return _kept(rows, gone, names)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule accuses go."""
-    found = wu_manber.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    rows, names = _numbered(docs, "pipeline-decontamination")
+    found = wu_manber.contamination(rows, table(spark, sf_dir, "benchmark"))
+    return _kept(rows, found.where("contaminated"), names)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; the secrets in its text are replaced."""
+    return secrets.redact(docs, secrets.findings(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each kept document as token ids, with its source and language."""
+    """The token ids of each document and the digest of the text they decode to."""
     ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return ids.select("doc_id", "n_tokens", "ids")
+    return ids.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
+    ("toxicity", toxic),
+    ("near copies", near_copies),
     ("decontamination", decontaminate),
+    ("secret scan", secret_scan),
     ("encode", encode),
 ]
 

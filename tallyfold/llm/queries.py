@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, jaccard, reshard, toxicity, unigram, warc, wu_manber
+from tallyfold.llm import bpe, jaccard, nn_descent, quotes, reshard, secrets, toxicity, unigram, warc, wu_manber
 from tallyfold.llm.common import table
 
 SHARDS = 24
@@ -41,6 +41,15 @@ def op7_reshard(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op1_reply_order(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf, "conversations"))
+
+
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.findings(table(spark, sf, "documents"))
+    return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+
+
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,6 +58,10 @@ def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf, "embeddings"), every=50, k=5)
+
+
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archive(table(spark, sf, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -56,12 +69,15 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_secrets": op3_secrets,
     "op4_decontaminate": op4_decontaminate,
+    "op1_reply_order": op1_reply_order,
     "op2_token_counts": op2_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_near_copies": op6_near_copies,
     "op7_reshard": op7_reshard,
     "op8_bpe": op8_bpe,
+    "op9_neighbours": op9_neighbours,
     "op10_warc": op10_warc,
 }
 
