@@ -29,12 +29,12 @@ from tallyfold.llm.common import pick, saved
 class Settings:
     """degree: neighbours kept; sample: of these met in a round, each way; told: what one meeting tells a vector at most."""
 
-    degree: int = 24
-    sample: int = 12
-    told: int = 8
-    rounds: int = 3
+    degree: int = 32
+    sample: int = 20
+    told: int = 16
+    rounds: int = 5
     least_change: float = 0.02
-    trees: int = 10
+    trees: int = 8
     block: int = 256
     beam: int = 128
     width: int = 16
@@ -43,8 +43,8 @@ class Settings:
 
 
 def unit(batch: pd.Series) -> np.ndarray:
-    """Rows of unit length, single precision, from byte strings."""
-    return np.frombuffer(b"".join(batch), np.float32).reshape(len(batch), -1)
+    """Rows of unit length from byte strings of half precision, in which vectors travel."""
+    return np.frombuffer(b"".join(batch), np.float16).reshape(len(batch), -1).astype(np.float32)
 
 
 def vectors(table: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -64,7 +64,7 @@ def vectors(table: DataFrame, id_column: str = "vec_id", column: str = "embeddin
             for v in batch["v"]:
                 v = np.asarray(v, float)
                 v = v / np.abs(v).max()
-                units.append((v / np.linalg.norm(v)).astype(np.float32).tobytes())
+                units.append((v / np.linalg.norm(v)).astype(np.float16).tobytes())
             batch["unit"] = pd.Series(units, dtype=object, index=batch.index)
             yield batch
 
@@ -154,7 +154,7 @@ def graph(points: DataFrame, settings: Settings | None = None) -> DataFrame:
             yield _pairs(group["node"].to_numpy(), unit(group["unit"]), s.told, group["new"].to_numpy(), group["worst"].to_numpy())
 
     for k in range(s.rounds):
-        # The sample: new ones first, then the best; a third of it is kept for old ones only where there are no new.
+        # The sample: new ones first, then the best.
         w = Window.partitionBy("src").orderBy(F.desc("new"), F.desc("score"), "dst")
         ranked = edges.withColumn("rank", F.row_number().over(w))
         forward = ranked.where(F.col("rank") <= s.sample)
@@ -224,8 +224,8 @@ def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, sett
             break
         done = done.union(frontier)
     close = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    # Single precision chose these; double precision on the original vectors orders them.
-    few = seen.withColumn("rank", F.row_number().over(close)).where(F.col("rank") <= 4 * k + 16).select("query", "node")
+    # Half precision chose these; double precision on the original vectors orders them.
+    few = seen.withColumn("rank", F.row_number().over(close)).where(F.col("rank") <= max(s.beam, 4 * k)).select("query", "node")
     a = points.select(F.col("node").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("a"))
     b = points.select("node", "vec_id", F.col("v").alias("b"))
     exact = few.join(a, "query").join(b, "node").select("query", "query_id", "vec_id", "node", cosine("a", "b").alias("score"))
