@@ -11,7 +11,7 @@ one node (the node id is a 64-bit digest of the set). Then
    two is a key. Either kind finds every pair that shares two prefix tokens.
 3. All sets of a key are verified against the key's leader, the set with the smallest share of
    tokens of its own, and the links give first components. Only pairs under one key in different
-   components, whose positions still allow enough overlap, are verified after that. So no link between
+   components, whose positions and token buckets still allow enough overlap, are verified after that. So no link between
    components is lost, and pairs inside a component found already are never made.
 
 Intersections are exact on the hashes. Everything but hashing runs as joins and aggregates.
@@ -95,15 +95,16 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """node, n, tokens of each text."""
+    """node, n, tokens, parity (a bit for each of 1024 buckets: whether it holds an odd number of tokens) of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
         for batch in batches:
             sets = [shingle(t) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "tokens": sets}, index=batch.index)
+            parity = [np.packbits(np.bincount(s & 1023, minlength=1024).astype(np.uint8) & 1).view(np.int64) for s in sets]
+            yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "tokens": sets, "parity": parity}, index=batch.index)
 
-    return docs.mapInPandas(run, "node long, n long, tokens array<long>")
+    return docs.mapInPandas(run, "node long, n long, tokens array<long>, parity array<long>")
 
 
 def _sieve(hashed: DataFrame, percent: int) -> DataFrame:
@@ -185,6 +186,9 @@ def near_copies(docs: DataFrame, *, percent: int = 80, width: int = 5, frequent_
     # What two sets can share at most when they share this key: of the two first shared tokens it is the second at the latest.
     most = "(2 + least(na - 1 - ata, nb - 1 - atb))"
     enough = f"100 * {most} >= {percent} * (na + nb - {most})"
+    # Buckets of odd difference hold at least a token that only one of the sets has.
+    apart = " + ".join(f"bit_count(pa[{k}] ^ pb[{k}])" for k in range(16))
+    close = f"100 * (na + nb - ({apart})) >= {percent} * (na + nb + ({apart}))"
 
     lead = postings.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node")).alias("lead"), F.count("*").alias("size"))
     lead = lead.where("size > 1").select("key", F.col("lead.node").alias("lead"))
@@ -197,10 +201,10 @@ def near_copies(docs: DataFrame, *, percent: int = 80, width: int = 5, frequent_
     mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     heads = lead.join(mixed.select("key"), "key").join(found.withColumnRenamed("node", "lead"), "lead", "left")
     heads = heads.select("key", F.coalesce("component", "lead").alias("head"))
-    rest = known.join(heads, "key")
-    a = rest.where("component <> head").selectExpr("key", "node as a", "n as na", "at as ata", "component as ca")
-    b = rest.selectExpr("key", "node as b", "n as nb", "at as atb", "component as cb", "component <> head as also")
-    cross = a.join(b, "key").where(f"ca <> cb and (not also or a < b) and {enough}").select("a", "b").distinct()
+    rest = known.join(heads, "key").join(sets.select("node", "parity"), "node")
+    a = rest.where("component <> head").selectExpr("key", "node as a", "n as na", "at as ata", "component as ca", "parity as pa")
+    b = rest.selectExpr("key", "node as b", "n as nb", "at as atb", "component as cb", "component <> head as also", "parity as pb")
+    cross = a.join(b, "key").where(f"ca <> cb and (not also or a < b) and {enough} and {close}").select("a", "b").distinct()
     links = links.union(saved(_verified(cross, sets, percent), "cross"))
     found = components(links)
 
