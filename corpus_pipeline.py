@@ -10,23 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import bpe, jaccard, secrets, toxicity, wu_manber
-from tallyfold.llm.common import fresh_path, saved, table
+from tallyfold.llm.common import framed, fresh_path, saved, table
 
 #: No stage but the last can be said in SQL; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
 def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
-    """``docs``, written, with a number for each row in the place of the id, and the columns to give back."""
-    names = docs.columns
-    rows = docs.withColumnRenamed("doc_id", "own_id").withColumn("doc_id", F.monotonically_increasing_id())
-    return saved(rows, label), names
+    """``docs``, written, with a number for each row in the place of the id, and the names of its own columns."""
+    rows, names = framed(docs, doc_id="own_id", text="text")
+    return saved(rows.withColumn("doc_id", F.monotonically_increasing_id()), label), names
 
 
-def _kept(rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+def _kept(docs: DataFrame, rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
     """Rows whose number is not in ``gone``, as they came."""
-    left = rows.join(gone.select("doc_id"), "doc_id", "left_anti")
-    return left.drop("doc_id").withColumnRenamed("own_id", "doc_id").select(*names)
+    return rows.join(gone.select("doc_id"), "doc_id", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +34,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = labels.where(toxicity.fold() != toxicity.HELD_OUT)
     model = toxicity.train(toxicity.sample(docs, known, settings.train_rows), settings)
     rows, names = _numbered(docs, "pipeline-toxicity")
-    return _kept(rows, toxicity.scores(rows, model).where(F.col("score") >= toxicity.LEAST_SCORE), names)
+    return _kept(docs, rows, toxicity.scores(rows, model).where(F.col("score") >= toxicity.LEAST_SCORE), names)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +44,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = rows.select("doc_id", "own_id").join(found, "doc_id")
     first = own.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "doc_id")).alias("first"))
     gone = own.join(first, "component_id").where(F.col("doc_id") != F.col("first.doc_id"))
-    return _kept(rows, gone, names)
+    return _kept(docs, rows, gone, names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule accuses go."""
     rows, names = _numbered(docs, "pipeline-decontamination")
     found = wu_manber.contamination(rows, table(spark, sf_dir, "benchmark"))
-    return _kept(rows, found.where("contaminated"), names)
+    return _kept(docs, rows, found.where("contaminated"), names)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

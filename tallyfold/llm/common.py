@@ -35,6 +35,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"c{df.columns.index(n)}").alias(n) for n in names))
 
 
+def framed(df: DataFrame, **names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with all columns renamed by place, so that none clash, and these names in order.
+
+    ``names`` gives new names to columns by their exact spelling, the first of each.
+    """
+    own = [f"c{i}" for i in range(len(df.columns))]
+    for old, new in names.items():
+        own[df.columns.index(old)] = new
+    return df.toDF(*own), own
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -97,8 +97,8 @@ def _blocks(points: DataFrame, dimension: int, count: int, s: Settings) -> DataF
             yield _pairs(group["node"].to_numpy(), unit(group["unit"]), s.told, None, None)
 
     placed = points.select("node", "unit").mapInPandas(sides, "tree int, side long, node long, unit binary")
-    # A side that holds a large share of all vectors is spread over tasks; blocks are cut from each share.
-    placed = placed.withColumn("salt", F.lit(0) if bits < 3 else F.pmod(F.xxhash64("node"), F.lit(2)).cast("int"))
+    # A side that holds a large share of all vectors is spread over tasks, by other halves in each tree; blocks are cut from these.
+    placed = placed.withColumn("salt", F.lit(0) if bits < 3 else F.pmod(F.xxhash64("node", "tree"), F.lit(2)).cast("int"))
     placed = placed.repartition("tree", "side", "salt").sortWithinPartitions("tree", "side", "salt", F.xxhash64("node", "tree"))
     return placed.mapInPandas(meet, "src long, dst long, score float").withColumn("new", F.lit(True))
 

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import pick, saved
+from tallyfold.llm.common import framed, pick, saved
 
 #: A run of 16 or more characters of keys and tokens with a digit in it, or any value of eight or more
 #: characters that is set to a credential's name.
@@ -170,8 +170,8 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, settings: Setti
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with each secret of ``found`` replaced in its text; all rows stay, in their columns."""
-    names = docs.columns
+    rows, names = framed(docs, doc_id="doc_id", text="text")
     bad = found.where("secret").groupBy("row").agg(F.collect_set("part").alias("bad"))
-    keyed = docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(bad, "row", "left")
+    keyed = rows.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(bad, "row", "left")
     clean = F.array_join(F.transform(parts(F.col("text")), lambda p, i: F.when(F.array_contains("bad", i), REDACTED).otherwise(p)), "")
-    return keyed.withColumn("text", F.when(F.col("bad").isNotNull(), clean).otherwise(F.col("text"))).select(*names)
+    return keyed.withColumn("text", F.when(F.col("bad").isNotNull(), clean).otherwise(F.col("text"))).select(*names).toDF(*docs.columns)
