@@ -38,7 +38,7 @@ def test_finds_and_redacts(spark):
     assert any(not r.secret for r in got)
     clean = secrets.redact(df, found)
     assert clean.columns == df.columns and clean.count() == len(rows) + len(extra)
-    left = {r.doc_id: r.text for r in clean.select("doc_id", "text").collect()}
+    left = {r[0]: r[1] for r in clean.collect()}
     for k, t in rows:
         assert left[k] == (t.replace(hidden[k], secrets.REDACTED) if k in hidden else t)
     assert left[900] is None and left[901] == "" and left[902].endswith('token = "[secret]"') and left[902].startswith("a")
