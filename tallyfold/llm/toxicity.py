@@ -31,6 +31,7 @@ REPORTING = frozenset("said says wrote writes called quote quoted quoting report
 ADDRESSING = frozenset("you your yours you're tu te toi vous votre du dich dein ihr euch tú ti usted ustedes eres".split())
 STEMS = range(4, 8)
 FEATURES = 7
+TRAIN_TASKS = 24
 
 
 @dataclass(frozen=True)
@@ -226,7 +227,8 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
     count as empty. Without toxic or without other rows the model scores everything 0.
     """
     settings = settings or Settings()
-    rows = saved(pick(labelled, "text", "toxic").where("toxic is not null").limit(settings.train_rows), "toxicity-rows")
+    rows = pick(labelled, "text", "toxic").where("toxic is not null").limit(settings.train_rows)
+    rows = saved(rows.repartition(TRAIN_TASKS, F.xxhash64("text")), "toxicity-rows")  # a limit leaves one partition
     n = {r.toxic: r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
     if not bad or not good:
