@@ -36,8 +36,8 @@ class Settings:
     least_change: float = 0.02
     trees: int = 8
     block: int = 256
-    beam: int = 128
-    width: int = 16
+    beam: int = 192
+    width: int = 24
     hops: int = 24
     seed: int = 7
 
@@ -213,8 +213,8 @@ def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, sett
         if seen is not None:
             reached = reached.join(seen.select("query", "node"), ["query", "node"], "left_anti")
         pairs = reached.join(units, "node").join(asked.withColumnRenamed("unit", "asked"), "query").select("query", "node", "unit", "asked")
-        scored = pairs.mapInPandas(near, "query long, node long, score float")
-        seen = saved(scored if seen is None else seen.union(scored), "seen")
+        scored = saved(pairs.mapInPandas(near, "query long, node long, score float"), "seen")
+        seen = scored if seen is None else seen.union(scored)
         top = Window.partitionBy("query").orderBy(F.desc("score"), "node")
         beam = seen.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= s.beam)
         rest = beam.join(done, ["query", "node"], "left_anti")

@@ -39,7 +39,7 @@ class Settings:
     """``train_rows`` bounds the labelled rows that are learned from, ``terms`` the lexicon."""
 
     train_rows: int = 20_000
-    terms: int = 4_096
+    terms: int = 512
     least_documents: int = 3
     least_precision: float = 0.6
     max_edits: int = 1
@@ -93,7 +93,8 @@ class Lexicon:
                 tails.add(t[-2:])
         # One edit leaves either the first two or the last two letters of a word of four or more.
         self.ends = (heads, tails) if settings.max_edits == 1 and settings.shortest_misspelled >= 4 else None
-        self.memo = Memo(600_000)
+        self.memo = Memo(100_000)
+        self.innocent: set[str] = set()
 
     def misspelled(self, word: str) -> list[tuple[int, str]]:
         """(edits, term) for the terms within reach of the word: the automaton and the trie walked together."""
@@ -114,12 +115,24 @@ class Lexicon:
                     stack.append((child, after))
         return sorted(found)
 
+    def hits(self, words: list[str]) -> bool:
+        """Whether any of the words is in the lexicon or near it; innocent ones are remembered, a bounded number."""
+        new = set(words) - self.innocent
+        if not new:
+            return False
+        bad = [w for w in new if self.look_up(w)]
+        if len(self.innocent) > 800_000:
+            self.innocent.clear()
+        self.innocent.update(new.difference(bad))
+        return bool(bad)
+
     def look_up(self, word: str) -> tuple[float, int, str] | tuple[()]:
         """Weight, kind (0 word, 1 stem, 2 misspelling) and term of a word; nothing where it is innocent."""
         got = self.memo.get(word)
         if got is None:
             got = self._look_up(word)
-            self.memo.put(word, got)
+            if got:
+                self.memo.put(word, got)
         return got
 
     def _look_up(self, word: str) -> tuple[float, int, str] | tuple[()]:
@@ -147,9 +160,9 @@ def features(lexicon: Lexicon, text: str | None) -> list[float]:
     out = [0.0] * FEATURES
     low = text.lower() if text else ""
     words = _WORD.findall(low)
-    look = lexicon.look_up
-    if not any(map(look, words)):
+    if not lexicon.hits(words):
         return out
+    look = lexicon.look_up
     terms, hits, width = set(), 0, lexicon.settings.window
     for k, m in enumerate(_WORD.finditer(low)):
         hit = look(m[0])
@@ -228,7 +241,11 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
     """
     settings = settings or Settings()
     rows = pick(labelled, "text", "toxic").where("toxic is not null").limit(settings.train_rows)
-    rows = saved(rows.repartition(TRAIN_TASKS, F.xxhash64("text")), "toxicity-rows")  # a limit leaves one partition
+    # Of near copies about one is learned from, so that their rare words don't look toxic: copies
+    # mostly share the long word of the smallest hash. A limit leaves one partition; the rows are dealt out again.
+    long = F.array_min(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{8,}"), F.lit(0)), lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("copies", F.coalesce(long, F.xxhash64("text"))).dropDuplicates(["copies", "toxic"]).drop("copies")
+    rows = saved(rows.repartition(TRAIN_TASKS, F.xxhash64("text")), "toxicity-rows")
     n = {r.toxic: r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
     if not bad or not good:
