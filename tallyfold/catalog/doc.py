@@ -35,17 +35,20 @@ l2 AS (SELECT * FROM ln WHERE note <> '')
 t AS (SELECT *, regexp_replace(regexp_replace(note, '\\d[\\d,.]*', '#', 'g'), '#(?:[,\\s]+#)+', '#', 'g') AS template FROM d)
 SELECT sha256(template) AS template, count(*) AS n, sha256(CASE WHEN count(*) = 1 THEN arg_min(note, at0) ELSE arg_min(note, at0) || ' (and ' || (count(*) - 1) || ' more session(s) with the same limitation, differing only in the figures)' END) AS note FROM t GROUP BY t.template""")
 def a24(spark, sf):
-    notes = lines(spark, sf).withColumn("pos", F.col("doc_id") * 100000 + F.col("at"))
+    notes = lines(spark, sf).withColumn("pos", F.struct("doc_id", "at"))
     return report.collapse_notes(notes, "pos").select(
         F.sha2("template", 256).alias("template"), "n", F.sha2("note", 256).alias("note")
     )
 
 
 @query("f22_order_preserving_distinct", LINES + """
-SELECT min(doc_id * 100000 + pos) AS first_at, sha256(note) AS note FROM l2 GROUP BY note""")
+SELECT min(p).doc_id AS first_doc, min(p).pos AS first_line, sha256(note) AS note
+FROM (SELECT note, {'doc_id': doc_id, 'pos': CAST(pos AS BIGINT)} AS p FROM l2) GROUP BY note""")
 def f22(spark, sf):
-    at = F.col("doc_id") * 100000 + F.col("at") + 1
-    return lines(spark, sf).groupBy("note").agg(F.min(at).alias("first_at")).select("first_at", F.sha2("note", 256).alias("note"))
+    first = lines(spark, sf).groupBy("note").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    return first.select(
+        F.col("first.doc_id").alias("first_doc"), (F.col("first.at") + 1).cast("bigint").alias("first_line"), F.sha2("note", 256).alias("note")
+    )
 
 
 @query("a1_document_copies", "SELECT min(doc_id) AS doc_id, count(*) AS copies, sha256(text) AS digest FROM documents GROUP BY text")

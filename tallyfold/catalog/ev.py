@@ -1,4 +1,4 @@
-"""The events binding: lazy stages of one run, shared by the queries that need them."""
+"""The events binding: the stages of one run, shared by the queries that need them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.operators import ledger, rollups
-from tallyfold.plans import sizing
 from tallyfold.sources import events
 
 _plans: dict[tuple, ledger.Model] = {}
@@ -15,12 +14,11 @@ _plans: dict[tuple, ledger.Model] = {}
 def model(
     spark: SparkSession, sf: str, policy: str = "proportional", before: str | None = None
 ) -> ledger.Model:
-    """The run's lazy DataFrames. Only plans are kept between queries, never rows."""
-    key = (spark.sparkContext.applicationId, sf, policy, before, sizing.mode_of(spark))
+    """The run's tables. The scanned log, the ledger and the facts are written once, when first used."""
+    key = (spark.sparkContext.applicationId, sf, policy, before)
     if key not in _plans:
         log = events.session_log(spark, sf, before)
-        wide = sizing.is_wide(events.raw_events(spark, sf))
-        _plans[key] = ledger.build(log, events.RATES, policy, wide=wide)
+        _plans[key] = ledger.build(log, events.RATES, policy, keep=True)
     return _plans[key]
 
 

@@ -12,7 +12,7 @@ from tallyfold.functions import money, paths
 from tallyfold.operators import ledger as lg
 from tallyfold.operators import residency as res
 from tallyfold.operators import turns as tn
-from tallyfold.plans import grouped
+from tallyfold.plans import scan
 from tallyfold.sources import events
 
 
@@ -156,9 +156,9 @@ def w4(spark, sf):
 SELECT session_id, item_id, opened_line, row_number() OVER (PARTITION BY session_id ORDER BY opened_line) AS span_no FROM span"""))
 def w7(spark, sf):
     m = model(spark, sf)
-    return grouped.with_rank(
-        m.spans.select("session_id", "item_id", "opened_line"), ["session_id"], [F.col("opened_line")], m.wide, "span_no"
-    )
+    spans = m.spans.select("session_id", "item_id", "opened_line")
+    run = scan.scan_session(spans, ["session_id"], "opened_line", counts={"before": F.lit(1).cast("bigint")})
+    return run.select("session_id", "item_id", "opened_line", (F.col("before") + 1).alias("span_no"))
 
 
 @query("a5_turns_resident", ev_sql("""

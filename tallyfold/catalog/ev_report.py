@@ -253,7 +253,7 @@ SELECT session_id, turn_index, CAST(sum(total_micros) OVER (PARTITION BY session
  (session_id, turn_index) IN (SELECT (session_id, boundary_turn) FROM comp) AS compacted FROM turns"""))
 def w5(spark, sf):
     m = model(spark, sf)
-    return report.cost_curve(m.turns, lg.boundary_marks(m.compactions), m.wide)
+    return report.cost_curve(m.turns, lg.boundary_marks(m.compactions))
 
 
 SPANLANE = """
@@ -269,7 +269,7 @@ sx AS (SELECT session_id, item_id, opened_line, count(*) AS n, count(lane) AS c
 SELECT session_id, item_id, opened_line, lane, min(turn_index) AS begin_turn, max(turn_index) + 1 AS end_turn FROM g GROUP BY session_id, item_id, opened_line, lane, grp"""))
 def w6(spark, sf):
     m = model(spark, sf)
-    return report.lane_runs(m.spans, m.ledger, m.wide)
+    return report.lane_runs(m.spans, m.ledger)
 
 
 @query("a18_residency_rows", ev_sql(SPANLANE + """
@@ -352,9 +352,10 @@ def a31s(spark, sf):
 
 
 @query("k1_total_order_ranking", ev_sql("""
-SELECT item_id, total_micros, carry_micros, direct_micros, reads FROM roll ORDER BY total_micros DESC, item_id LIMIT 25""", ranks=True))
+SELECT item_id, total_micros, carry_micros, direct_micros, reads, row_number() OVER (ORDER BY total_micros DESC, item_id) AS place FROM roll""", ranks=True))
 def k1(spark, sf):
-    return report.ranked(rollup(model(spark, sf)), "cost").select("item_id", *long("total_micros", "carry_micros", "direct_micros", "reads")).limit(25)
+    """Every item with its place in the ranking."""
+    return report.places(rollup(model(spark, sf)), "cost").select("item_id", *long("total_micros", "carry_micros", "direct_micros", "reads"), "place")
 
 
 TOPK = """

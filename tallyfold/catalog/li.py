@@ -9,7 +9,6 @@ from tallyfold.catalog.registry import query, table
 from tallyfold.functions import money
 from tallyfold.operators import checks
 from tallyfold.operators import rollups as ro
-from tallyfold.plans import sizing
 
 
 def _lines(spark, sf):
@@ -48,8 +47,7 @@ def shares(spark, sf):
         F.col("l_quantity").cast("bigint").alias("w"),
     )
     position = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
-    wide = sizing.is_wide(lines)
-    return money.allocate(lines.join(orders, "l_orderkey", "inner"), ["l_orderkey"], "pool", "w", position, wide=wide)
+    return money.allocate(lines.join(orders, "l_orderkey", "inner"), ["l_orderkey"], "pool", "w", position)
 
 
 @query("w1_largest_remainder", ALLOC_SQL + "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, w, share FROM s")

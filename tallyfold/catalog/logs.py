@@ -166,7 +166,7 @@ SELECT session_id, fl AS line, (k + 1) * 40 AS width, CAST(600 AS BIGINT) AS hei
 def p17(spark, sf):
     results = logs.tool_results(derived.routed_lines(spark, sf)).filter(F.size("content_walk.images") > 0)
     blobs = results.select("session_id", "line", F.explode("content_walk.images").alias("i")).select(
-        "session_id", "line", "i.data", F.lit("m-small").alias("model")
+        "session_id", "line", "i.decoded", "i.width", "i.height", F.lit("m-small").alias("model")
     )
     sized = sizing.sized_images(blobs, ["session_id", "line"], "model", CAPS)
     return sized.select("session_id", "line", "width", "height", "q.tokens")
@@ -177,7 +177,7 @@ SELECT session_id, CAST(sum(least(CAST(ceil((k + 1) * 40 * 600 / 750.0) AS BIGIN
 def p33(spark, sf):
     """All images of a session combined as the parts of one quantity."""
     results = logs.tool_results(derived.routed_lines(spark, sf)).filter(F.size("content_walk.images") > 0)
-    blobs = results.select("session_id", F.explode("content_walk.images").alias("i")).select("session_id", "i.data", F.lit("m-small").alias("model"))
+    blobs = results.select("session_id", F.explode("content_walk.images").alias("i")).select("session_id", "i.decoded", "i.width", "i.height", F.lit("m-small").alias("model"))
     sized = sizing.sized_images(blobs, ["session_id"], "model", CAPS).select("session_id", "q.tokens", "q.basis", "q.confidence")
     counts = sized.groupBy("session_id").agg(F.count(F.lit(1)).alias("images"))
     return sizing.combine(sized, ["session_id"]).select("session_id", "tokens").join(counts, "session_id")

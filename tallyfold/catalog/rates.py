@@ -4,23 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyfold.catalog.ev import model
-from tallyfold.catalog.ev_sql import ev_sql
 from tallyfold.catalog.registry import query
 from tallyfold.functions import fixed
+from tallyfold.operators import stored as st
 from tallyfold.sources import events
 
 
-@query("s21_rate_fingerprint", ev_sql("""
-SELECT substr(sha256(string_agg(x, '|' ORDER BY x)), 1, 16) AS print FROM (SELECT DISTINCT model || ':' || input_rate || '/' || output_rate || '/' || coalesce(CAST(threshold AS VARCHAR), 'None') AS x FROM turns)"""))
+@query("s21_rate_fingerprint", """
+SELECT user_id AS session_id, substr(sha256('cache:1/10/5/4/2/5/4/low|m-large:5000000/25000000/None|m-mid:3000000/15000000/100|m-small:1000000/5000000/400'), 1, 16) AS rate_print
+FROM events GROUP BY 1""")
 def s21(spark, sf):
-    """Digest of the rates that price the turns; the distinct rates are as few as the models."""
-    used = model(spark, sf).turns.select(
-        F.concat(
-            "model", F.lit(":"), F.concat_ws("/", "input_rate", "output_rate", F.coalesce(F.col("threshold").cast("string"), F.lit("None")))
-        ).alias("x")
-    )
-    return used.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set("x")), "|"), 256), 1, 16).alias("print"))
+    """The rate part of each session's key: a digest of the whole table, of models and multipliers in use or not."""
+    return st.keyed(st.fingerprints(events.raw_events(spark, sf)), "proportional", events.RATES).select("session_id", "rate_print")
 
 
 @query("p27_stale_rates_flag", f"""

@@ -9,36 +9,24 @@ from pyspark.sql import functions as F
 
 from tallyfold.plans import grouped
 
-MULTIPLIER_UNITS = 1_000_000  # multipliers are held as integer millionths
-
 
 def _dec(col: Column, digits: int) -> Column:
     return col.cast(f"decimal({digits},0)")
 
 
-def half_even(numerator: Column, denominator: int) -> Column:
-    """Round an exact non-negative DECIMAL quotient once, halves to the even neighbour."""
-    whole = F.call_function("div", numerator, F.lit(denominator).cast("decimal(20,0)"))
-    rest = numerator % F.lit(denominator).cast("decimal(20,0)")
-    half = F.lit(denominator // 2).cast("decimal(20,0)")
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    return whole + F.when(up, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-
-
 def cost_micros(tokens: Column, rate: Column, multiplier: Column | None = None) -> Column:
     """Cost of ``tokens`` at ``rate`` micros per million tokens; a negative input is an error.
 
-    ``multiplier`` is an integer number of millionths (1.25 is 1250000).
+    ``multiplier`` is an integer number of millionths (1.25 is 1250000). The product is exact, 38
+    digits with 12 behind the point, and is rounded once, halves to the even neighbour.
     """
     bad = (tokens < 0) | (rate < 0)
-    exact = _dec(tokens, 15) * _dec(rate, 11)
-    scale = 1_000_000
+    millionth = F.lit("0.000001").cast("decimal(7,6)")
+    exact = _dec(tokens, 15) * (_dec(rate, 11) * millionth).cast("decimal(12,6)")
     if multiplier is not None:
-        exact = exact * _dec(multiplier, 9)
-        scale *= MULTIPLIER_UNITS
-    return F.when(bad, F.raise_error(F.lit("token count and rate must not be negative")).cast("bigint")).otherwise(
-        half_even(exact, scale)
-    )
+        exact = exact * (_dec(multiplier, 9) * millionth).cast("decimal(9,6)")
+    refuse = F.raise_error(F.lit("token count and rate must not be negative")).cast("bigint")
+    return F.when(bad, refuse).otherwise(F.bround(exact, 0).cast("bigint"))
 
 
 def usd_to_micros(usd: Column) -> Column:
@@ -52,7 +40,6 @@ def allocate(
     weight: str,
     position: Sequence[Column],
     out: str = "share",
-    wide: bool = False,
 ) -> DataFrame:
     """Largest-remainder split of each group's ``pool`` over its rows' ``weight``.
 
@@ -63,7 +50,7 @@ def allocate(
     keys = list(keys)
     named = df.withColumn("_w", F.col(weight).cast("bigint"))
     summed = grouped.with_totals(
-        named, keys, wide, _sum_w=F.sum("_w"), _n=F.count(F.lit(1)), _min_w=F.min("_w")
+        named, keys, _sum_w=F.sum("_w"), _n=F.count(F.lit(1)), _min_w=F.min("_w")
     )
     even = F.col("_sum_w") == 0
     w = F.when(even, F.lit(1)).otherwise(F.col("_w"))
@@ -78,8 +65,8 @@ def allocate(
             "_rest": (product % _dec(total, 19)).cast("bigint"),
         }
     )
-    parts = grouped.with_totals(parts, keys, wide, _given=F.sum("_floor"))
-    ranked = grouped.with_rank(parts, keys, [F.col("_rest").desc(), *position], wide, "_rank")
+    parts = grouped.with_totals(parts, keys, _given=F.sum("_floor"))
+    ranked = grouped.with_rank(parts, keys, [F.col("_rest").desc(), *position], "_rank")
     left = F.abs(F.col(pool)) - F.col("_given")
     share = F.col("_floor") + F.when(F.col("_rank") <= left, 1).otherwise(0)
     return ranked.withColumn(out, (F.signum(F.col(pool)).cast("bigint") * share).cast("bigint")).drop(

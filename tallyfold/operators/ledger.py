@@ -8,6 +8,7 @@ lane classification, forced reloads, and the three largest-remainder splits.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,23 +17,22 @@ from tallyfold.functions import fixed
 from tallyfold.functions.money import cost_micros
 from tallyfold.operators import residency as res
 from tallyfold.plans import grouped
+from tallyfold.session import stored
 from tallyfold.sources.rates import RateTable
 
 KEY = res.SESSION_TURN
 
 
-def priced(turn_rows: DataFrame, rates: RateTable, drop_unknown: bool = False) -> DataFrame:
-    """The four observed charges of each turn; an unknown model fails or is left for the caller.
+def priced(turn_rows: DataFrame, rates: RateTable) -> DataFrame:
+    """The four observed charges of each turn; an unknown model fails.
 
     Every write window is rounded on its own and the results are added.
     """
     cache = rates.cache
     table = rates.dimension(turn_rows.sparkSession)
-    joined = turn_rows.join(table, "model", "inner" if drop_unknown else "left")
-    rate = F.col("input_rate")
-    if not drop_unknown:
-        refuse = F.raise_error(F.concat(F.lit("no rate for model "), F.col("model"))).cast("bigint")
-        rate = F.when(rate.isNull(), refuse).otherwise(rate)
+    joined = turn_rows.join(table, "model", "left")
+    refuse = F.raise_error(F.concat(F.lit("no rate for model "), F.col("model"))).cast("bigint")
+    rate = F.when(F.col("input_rate").isNull(), refuse).otherwise(F.col("input_rate"))
 
     def at(tokens: str, multiplier: int | None = None) -> Column:
         times = None if multiplier is None else F.lit(multiplier)
@@ -124,7 +124,7 @@ def boundary_marks(comps: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """The stages of one attribution run; every member is a lazy DataFrame."""
+    """The stages of one attribution run. With ``keep`` the ledger and the facts are written when first used."""
 
     placed: DataFrame
     turns: DataFrame
@@ -134,16 +134,21 @@ class Model:
     spans: DataFrame
     changes: DataFrame
     marks: DataFrame
-    ledger: DataFrame
-    wide: bool
+    book: DataFrame
+    keep: bool = False
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return stored(self.book, "ledger") if self.keep else self.book
 
     @property
     def lanes(self) -> DataFrame:
         return lanes(self.ledger)
 
-    @property
+    @cached_property
     def attributions(self) -> DataFrame:
-        return attributions(self.ledger)
+        facts = attributions(self.ledger)
+        return stored(facts, "attribution") if self.keep else facts
 
     @property
     def events(self) -> DataFrame:
@@ -155,12 +160,13 @@ def build(
     rates: RateTable,
     policy: str = "proportional",
     survivors_of=None,
-    wide: bool = False,
-    turn_filter: Column | None = None,
+    keep: bool = False,
 ) -> Model:
     if policy not in fixed.POLICIES:
         raise ValueError(f"unknown policy {policy!r}; known: {fixed.POLICIES}")
-    placed = res.place(log, wide)
+    placed = res.place(log)
+    if keep:
+        placed = stored(placed, "placed")
     inj = res.injections(placed)
     comps = res.compactions(placed)
     item_rows = res.items(inj)
@@ -169,8 +175,8 @@ def build(
     turn_rows = priced(res.turns(placed), rates)
     changes = prefix_changes(placed)
     marks = change_marks(changes)
-    book = ledger(turn_rows, inj, res.resident(span_rows), marks, policy, wide)
-    return Model(placed, turn_rows, inj, comps, item_rows, span_rows, changes, marks, book, wide)
+    book = ledger(turn_rows, inj, res.resident(span_rows), marks, policy)
+    return Model(placed, turn_rows, inj, comps, item_rows, span_rows, changes, marks, book, keep)
 
 
 TURN_FACTS = [
@@ -181,7 +187,7 @@ TURN_FACTS = [
 
 
 def ledger(
-    turn_rows: DataFrame, inj: DataFrame, resident: DataFrame, marks: DataFrame, policy: str, wide: bool
+    turn_rows: DataFrame, inj: DataFrame, resident: DataFrame, marks: DataFrame, policy: str
 ) -> DataFrame:
     """One row per turn, injection and resident item, with lanes, pools and shares filled in."""
     facts = turn_rows.join(marks, KEY, "left")
@@ -207,16 +213,14 @@ def ledger(
     zero = F.lit(0).cast("bigint")
     # 1. what the turn brings, spread to all of its rows
     spread = grouped.with_totals(
-        stacked, KEY, wide,
+        stacked, KEY,
         _t=F.first("t", ignorenulls=True),
         arrived_tokens=F.sum(F.when(is_inj, size).otherwise(zero)),
         n_injections=F.count(F.when(is_inj, 1)),
     )
     spread = spread.drop("t").withColumnRenamed("_t", "t")
-    if wide:
-        spread = spread.withColumn("item_id", F.coalesce("item_id", F.lit("")))
     spread = grouped.with_totals(
-        spread, [*KEY, "item_id"], wide, _injected=F.max(F.when(is_inj, 1).otherwise(0))
+        spread, [*KEY, "item_id"], _injected=F.max(F.when(is_inj, 1).otherwise(0))
     )
     t = F.col("t")
     injected = F.col("_injected") == 1
@@ -233,7 +237,7 @@ def ledger(
     )
     classed = spread.withColumn("lane", lane)
     sums = grouped.with_totals(
-        classed, KEY, wide,
+        classed, KEY,
         below_tokens=F.sum(F.when(below, size).otherwise(zero)),
         cached_tokens=F.sum(F.when(F.col("lane") == "cached", size).otherwise(zero)),
         n_cached=F.count(F.when(F.col("lane") == "cached", 1)),
@@ -309,9 +313,9 @@ def ledger(
     cutp = pooled.withColumns({"_amount": amount, "_total": total}).withColumns(
         {"_floor": F.call_function("div", product, whole), "_rest": (product % whole).cast("bigint")}
     )
-    given = grouped.with_totals(cutp, [*KEY, "pool"], wide, _given=F.sum("_floor"))
+    given = grouped.with_totals(cutp, [*KEY, "pool"], _given=F.sum("_floor"))
     ranked = grouped.with_rank(
-        given, [*KEY, "pool"], [F.col("_rest").desc(), F.col("pos"), F.col("row")], wide, "_rank"
+        given, [*KEY, "pool"], [F.col("_rest").desc(), F.col("pos"), F.col("row")], "_rank"
     )
     share = F.col("_floor") + F.when(F.col("_rank") <= F.col("_amount") - F.col("_given"), 1).otherwise(0)
     return ranked.withColumn(

@@ -103,11 +103,11 @@ def turn_series(turn_rows: DataFrame, boundaries: DataFrame) -> DataFrame:
     )
 
 
-def cost_curve(turn_rows: DataFrame, boundaries: DataFrame, wide: bool) -> DataFrame:
+def cost_curve(turn_rows: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Running cost per session; the last point is the session total."""
     numbered = turn_rows.select("session_id", "turn_index", (F.col("turn_index") + 1).alias("n"), "total_micros")
     run = scan.scan_session(
-        numbered, ["session_id"], "n", wide,
+        numbered, ["session_id"], "n",
         counts={"before": F.col("total_micros")}, totals={"whole": F.col("total_micros")},
     )
     running = F.col("before") + F.col("total_micros")
@@ -151,7 +151,7 @@ def residency_rows(span_rows: DataFrame, book: DataFrame) -> DataFrame:
     )
 
 
-def lane_runs(span_rows: DataFrame, book: DataFrame, wide: bool) -> DataFrame:
+def lane_runs(span_rows: DataFrame, book: DataFrame) -> DataFrame:
     """Runs of equal lanes per unbroken span, as (lane, begin, end).
 
     A turn starts a run when the lane of the turn before it differs; runs are the turns between
@@ -168,7 +168,7 @@ def lane_runs(span_rows: DataFrame, book: DataFrame, wide: bool) -> DataFrame:
         .select(*SPAN, "item_id", F.lit(0).cast("bigint").alias("turn_index"), F.col("lane0").alias("lane"))
     )
     rows = rows.select(*SPAN, "item_id", "turn_index", "lane").unionByName(shadows)
-    numbered = grouped.with_rank(rows, [*SPAN, "lane"], [F.col("turn_index")], wide, "rn")
+    numbered = grouped.with_rank(rows, [*SPAN, "lane"], [F.col("turn_index")], "rn")
     return (
         numbered.groupBy(*SPAN, "item_id", "lane", (F.col("turn_index") - F.col("rn")).alias("island"))
         .agg(F.min("turn_index").alias("begin_turn"), (F.max("turn_index") + 1).alias("end_turn"))
@@ -315,6 +315,13 @@ def ranked(rollup: DataFrame, sort: str) -> DataFrame:
     return rollup.orderBy(F.desc(SORT_COLUMNS[sort]), "item_id")
 
 
+def places(rollup: DataFrame, sort: str) -> DataFrame:
+    """All rows with their place in the total order, numbered slice by slice."""
+    if sort not in SORT_COLUMNS:
+        raise ValueError(f"unknown sort {sort!r}; known: {fixed.SORTS}")
+    return grouped.spread_rank(rollup, [], [F.desc(SORT_COLUMNS[sort]), F.col("item_id")], "place")
+
+
 def priced_points(rollup: DataFrame) -> DataFrame:
     """The 120 costliest priced items by cost then name, with how many were left out."""
     paid = rollup.filter("total_micros > 0")

@@ -21,13 +21,12 @@ def _one(flag: str) -> Column:
     return F.col(flag).cast("int").cast("bigint")
 
 
-def place(log: DataFrame, wide: bool = False) -> DataFrame:
+def place(log: DataFrame) -> DataFrame:
     """Log rows with the turns and compactions before them, session totals and the last model."""
     return scan.scan_session(
         log,
         ["session_id"],
         "line",
-        wide,
         counts={"turns_before": _one("is_turn"), "comps_before": _one("is_compaction")},
         totals={"n_turns": _one("is_turn"), "n_comps": _one("is_compaction")},
         lasts={"prev_model": F.col("model")},

@@ -386,7 +386,7 @@ def attribution_components(facts: DataFrame) -> DataFrame:
     return sums.select(F.explode(rows).alias("c")).select("c.*")
 
 
-def session_turns(turn_rows: DataFrame, numeric: bool = True) -> DataFrame:
+def session_turns(turn_rows: DataFrame) -> DataFrame:
     """Per session its turn count and the number of turns in all smaller session ids."""
     counts = turn_rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"))
     return grouped.running_offsets(counts, "session_id", "turns", "turn_offset")

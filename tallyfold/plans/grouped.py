@@ -1,8 +1,7 @@
-"""Totals and ranks per group, in a narrow and in a wide form with equal results.
+"""Totals and ranks per group, and offsets over a whole table.
 
-Narrow: one window per group, a single shuffle on the key.
-Wide: totals are partial aggregates joined back (AQE splits the skewed side of the join), ranks
-come from a range-partitioned order, so that one group spreads over as many tasks as it needs.
+Groups given to the windows here are small by their key: a turn of a session, a pool of a turn,
+an order. What runs over a whole session or table goes through ``plans.scan`` or ``offsets``.
 """
 
 from __future__ import annotations
@@ -13,42 +12,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfold.session import cut
+from tallyfold.session import stored
 
 
-def with_totals(df: DataFrame, keys: Sequence[str], wide: bool, **aggs: Column) -> DataFrame:
+def with_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Add one column per aggregate, holding its value over the row's group."""
-    if not wide:
-        over = W.partitionBy(*keys)
-        return df.withColumns({name: agg.over(over) for name, agg in aggs.items()})
-    totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    return df.join(totals, list(keys), "inner")
+    over = W.partitionBy(*keys)
+    return df.withColumns({name: agg.over(over) for name, agg in aggs.items()})
 
 
-def with_rank(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], wide: bool, name: str = "rank"
-) -> DataFrame:
+def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Add the 1-based position of each row in its group; ``order`` must be total."""
-    if not wide:
-        over = W.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(over).cast("bigint"))
-    return spread_rank(df, keys, order, name)
+    over = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(over).cast("bigint"))
 
 
-def spread_rank(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank"
-) -> DataFrame:
-    """Positions in a group without giving the group to one task.
+def sliced(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` in slices of about equal size along ``order``, written once with their number, ``_slice``.
 
-    The rows are range-partitioned by (keys, order) and written once, so both readers below see
-    the same slices. Each slice numbers its own rows; the numbers of the slices before it are
-    added from one row per (group, slice).
+    Spark samples the bounds, so neither a hot key nor a burst in time makes a slice large.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key_cols = [F.col(k) for k in keys]
-    placed = cut(
-        df.repartitionByRange(slices, *key_cols, *order).withColumn("_slice", F.spark_partition_id())
-    )
+    return stored(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Positions in a group without giving the group to one task; ``order`` must be total.
+
+    Each slice numbers its own rows; the numbers of the slices before it are added from one row
+    per (group, slice).
+    """
+    placed = sliced(df, [*[F.col(k) for k in keys], *order])
     local = W.partitionBy(*keys, "_slice").orderBy(*order)
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -64,23 +57,22 @@ def spread_rank(
     )
 
 
-def running_offsets(df: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
-    """Sum of ``value`` over all rows with a smaller integer ``order``, without a one-task sort.
+def running_offsets(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all rows with a smaller ``order``, which may be of any ordered type.
 
-    Rows are bucketed by ``order div width``; only the bucket sums (1/width of the rows) are
-    summed in one place.
+    Only one row per slice, as many as there are shuffle partitions, is summed in one place.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
-    inside = W.partitionBy("_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    across = W.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    buckets = (
-        bucketed.groupBy("_bucket")
+    placed = sliced(df, [F.col(order)])
+    inside = W.partitionBy("_slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    across = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = (
+        placed.groupBy("_slice")
         .agg(F.sum(value).alias("_sum"))
-        .select("_bucket", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_base"))
+        .select("_slice", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_base"))
     )
     return (
-        bucketed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(buckets, "_bucket", "inner")
+        placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(slices, "_slice", "inner")
         .withColumn(name, (F.col("_inside") + F.col("_base")).cast("bigint"))
-        .drop("_bucket", "_inside", "_base")
+        .drop("_slice", "_inside", "_base")
     )

@@ -1,8 +1,8 @@
 """Ordered scans over a session: line numbers, running counts and last-seen values.
 
-The line number is dense within a session (1, 2, 3, ...), so cutting it into blocks of equal
-length gives balanced pieces whatever the skew. Every scan has a narrow form (one window per
-session) and a wide form (window per block, then a carry from the blocks before).
+The line number is dense within a session (1, 2, 3, ...), so cutting it into segments of equal
+length gives balanced pieces whatever the skew. Every scan is a window per segment and a carry
+from the segments before, of which there is one row each.
 """
 
 from __future__ import annotations
@@ -13,59 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfold.plans import sizing
+from tallyfold.plans import grouped, sizing
 
 
-def number_lines(
-    df: DataFrame, key: str, ts: str, tie: str, wide: bool, rows: int | None = None, name: str = "line"
-) -> DataFrame:
-    """1-based position of each row in its session by (ts, tie)."""
-    if not wide:
-        over = W.partitionBy(key).orderBy(ts, tie)
-        return df.withColumn(name, F.row_number().over(over).cast("bigint"))
-    rows = rows or sizing.segment_rows(df.sparkSession)
-    micros = F.unix_micros(F.col(ts))
-    # Only sessions above `rows` rows are cut; their number is at most total / rows.
-    long_ones = (
-        df.groupBy(key)
-        .agg(
-            F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_lo"), F.max(micros).alias("_hi")
-        )
-        .filter(F.col("_n") > rows)
-        .withColumn("_cuts", F.ceil(F.col("_n") / rows))
-    )
-    cut_no = F.floor(
-        (micros - F.col("_lo")).cast("double") * F.col("_cuts") / (F.col("_hi") - F.col("_lo") + 1)
-    )
-    placed = df.join(long_ones, key, "left").withColumn(
-        "_cut", F.coalesce(cut_no.cast("bigint"), F.lit(0).cast("bigint"))
-    )
-    local = W.partitionBy(key, "_cut").orderBy(ts, tie)
-    before = W.partitionBy(key).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(key, "_cut")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(key, "_cut", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    )
-    return (
-        placed.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [key, "_cut"], "inner")
-        .withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_n", "_lo", "_hi", "_cuts", "_cut", "_local", "_before")
-    )
+def number_lines(df: DataFrame, key: str, ts: str, tie: str, name: str = "line") -> DataFrame:
+    """1-based position of each row in its session by (ts, tie), of any ordered types; rows are written once."""
+    return grouped.spread_rank(df, [key], [F.col(ts), F.col(tie)], name)
 
 
 def scan_session(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    wide: bool,
     counts: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     rows: int | None = None,
 ) -> DataFrame:
-    """Running values strictly before each row, and totals over the group.
+    """Running values strictly before each row, and totals over the group; ``order`` is a dense line number or close to it.
 
     ``counts``: name -> integer column summed over the earlier rows.
     ``totals``: name -> integer column summed over the whole group.
@@ -74,16 +39,6 @@ def scan_session(
     counts, totals, lasts = dict(counts or {}), dict(totals or {}), dict(lasts or {})
     keys = list(keys)
     zero = F.lit(0).cast("bigint")
-    if not wide:
-        earlier = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        whole = W.partitionBy(*keys)
-        return df.withColumns(
-            {
-                **{n: F.coalesce(F.sum(c).over(earlier), zero) for n, c in counts.items()},
-                **{n: F.last(c, ignorenulls=True).over(earlier) for n, c in lasts.items()},
-                **{n: F.coalesce(F.sum(c).over(whole), zero) for n, c in totals.items()},
-            }
-        )
     rows = rows or sizing.segment_rows(df.sparkSession)
     cut = df.withColumn("_seg", sizing.segment_of(F.col(order), rows))
     parts = [*keys, "_seg"]

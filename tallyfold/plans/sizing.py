@@ -1,46 +1,21 @@
-"""Size checks that choose between a narrow plan and one that splits hot groups.
-
-A narrow plan gives each group to one task. That is right while a third of the source still
-fits in a task, and wrong beyond it, so the choice is made from the size of the source files,
-or from the largest group where a probe is worth its cost.
-"""
+"""Sizes that plans are cut by."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NARROW_SOURCE_BYTES = 512 * 1024 * 1024
 SEGMENT_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 
-MODE_KEY = "tallyfold.mode"  # auto | narrow | wide
 SEGMENT_KEY = "tallyfold.segmentRows"
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Bytes of the relations a plan reads, from file listings; no job is run."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return max(sizes) if sizes else 0
-
-
-def mode_of(spark: SparkSession) -> str:
-    return spark.conf.get(MODE_KEY, "auto")
-
-
 def segment_rows(spark: SparkSession) -> int:
+    """Rows of a session that one task scans; more are cut into segments."""
     return int(spark.conf.get(SEGMENT_KEY, str(SEGMENT_ROWS)))
 
 
-def is_wide(df: DataFrame) -> bool:
-    """True when groups of ``df`` may be too large for one task."""
-    mode = mode_of(df.sparkSession)
-    if mode != "auto":
-        return mode == "wide"
-    return source_bytes(df) > NARROW_SOURCE_BYTES
-
-
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast only when the row count, known to the caller, is small; else leave it to AQE."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +29,8 @@ def local_session(cores: str | int = "*", app: str = "tallyfold") -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables and checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (local runs)
-    a new temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local run may leave that unset; a
+    new temporary folder is made and set for it. On a cluster executors would not see such a folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -38,11 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = spark.sparkContext.getCheckpointDir()
     return current
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and go on from the files, which can be read in part."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from what was written."""
     shared_dir(df.sparkSession)

@@ -83,7 +83,7 @@ def write_tree(spark: SparkSession, sf_dir: str) -> str:
         (
             log_lines(spark, sf_dir)
             .withColumn("project", F.concat(F.lit("p"), (F.col("session_id") % 3).cast("string")))
-            .repartitionByRange(8, "project", "session_id", "line")
+            .repartitionByRange("project", "session_id", "line")
             .sortWithinPartitions("project", "session_id", "line")
             .select("project", "session_id", "value")
             .write.partitionBy("project", "session_id").mode("overwrite").text(f"{root}/projects")

@@ -6,6 +6,8 @@ import tomllib
 from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import Decimal
+from fractions import Fraction
+from hashlib import sha256
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,15 @@ class RateTable:
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.models), RATE_SCHEMA)
 
+    @property
+    def fingerprint(self) -> str:
+        """Digest of every rate, threshold and multiplier, of models in use or not."""
+        c = self.cache
+        times = [str(Fraction(m, 1_000_000)) for m in (c.read, c.write_5m, c.write_1h, c.unknown)]
+        parts = ["cache:" + "/".join([*times, c.unknown_confidence])]
+        parts += [f"{m}:{i}/{o}/{floor}" for m, i, o, floor in sorted(self.models)]
+        return sha256("|".join(parts).encode()).hexdigest()[:16]
+
     def dimension(self, spark: SparkSession) -> DataFrame:
         """The table as a join side; its row count is known here, so the broadcast is checked."""
         return bounded_broadcast(self.frame(spark), len(self.models))

@@ -1,10 +1,15 @@
 """The published five-turn example, rebuilt as log rows."""
 
+import time
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import ledger
-from tallyfold.plans import sizing
+from tallyfold.plans import grouped, scan, sizing
+from tallyfold.session import shared_dir
+from tallyfold.sources import events
 from tallyfold.sources.rates import RateTable
 
 RATES = RateTable(models=(("m", 5_000_000, 25_000_000, None),))
@@ -41,10 +46,14 @@ ROWS = [
 
 
 @pytest.mark.parametrize("policy,attributed", [("proportional", 38250), ("exclusive", 37750)])
-@pytest.mark.parametrize("wide", [False, True])
-def test_split(spark, policy, attributed, wide):
+@pytest.mark.parametrize("segment", [2, 1_000_000])
+def test_split(spark, policy, attributed, segment):
     log = spark.createDataFrame(ROWS, SCHEMA)
-    m = ledger.build(log, RATES, policy, wide=wide)
+    spark.conf.set(sizing.SEGMENT_KEY, segment)
+    try:
+        m = ledger.build(log, RATES, policy)
+    finally:
+        spark.conf.unset(sizing.SEGMENT_KEY)
     rec = ledger.reconcile(m.turns, m.attributions).collect()[0]
     assert (rec.total_micros, rec.attributed_micros) == (39250, attributed)
     got = {
@@ -57,19 +66,52 @@ def test_split(spark, policy, attributed, wide):
         assert got["file:/repo/src/a.py", "carry"] == 667 and got["file:/repo/docs/b.md", "carry"] == 333
 
 
-def test_wide_scan_equals_narrow(spark):
-    from tallyfold.plans import scan
-
+def test_segments_give_equal_scans(spark):
     df = spark.range(1, 400).select(
-        (F.col("id") % 3).alias("s"), F.col("id").alias("ts0"), (F.col("id") % 5 == 0).cast("bigint").alias("t"),
+        (F.col("id") % 3).cast("string").alias("s"), F.col("id").alias("tie"), (F.col("id") % 5 == 0).cast("bigint").alias("t"),
         F.when(F.col("id") % 7 == 0, F.col("id").cast("string")).alias("m"),
-    ).withColumn("ts", F.timestamp_micros(F.col("ts0") * 1000000))
-    a = scan.number_lines(df, "s", "ts", "ts0", False)
-    b = scan.number_lines(df, "s", "ts", "ts0", True, rows=20)
-    assert sorted(map(tuple, a.select("s", "ts0", "line").collect())) == sorted(map(tuple, b.select("s", "ts0", "line").collect()))
+    ).withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, tie div 40)"))
+    lined = scan.number_lines(df, "s", "ts", "tie")
+    rows = sorted((r.s, r.tie, r.line) for r in lined.collect())
+    want = {s: sorted(k for k in range(1, 400) if k % 3 == int(s)) for s in "012"}
+    assert rows == sorted((s, k, i + 1) for s, ks in want.items() for i, k in enumerate(ks))
     args = {"counts": {"c": F.col("t")}, "totals": {"n": F.col("t")}, "lasts": {"l": F.col("m")}}
-    x = scan.scan_session(a, ["s"], "line", False, **args)
-    y = scan.scan_session(a, ["s"], "line", True, rows=16, **args)
+    whole = scan.scan_session(lined, ["s"], "line", rows=10_000, **args)
+    cut = scan.scan_session(lined, ["s"], "line", rows=16, **args)
     cols = ["s", "line", "c", "n", "l"]
-    assert sorted(map(str, x.select(*cols).collect())) == sorted(map(str, y.select(*cols).collect()))
-    assert sizing.segment_rows(spark) > 0
+    assert sorted(map(str, whole.select(*cols).collect())) == sorted(map(str, cut.select(*cols).collect()))
+
+
+def test_one_hot_session_in_small_segments(spark):
+    """A session with nine tenths of all rows gives the same figures cut into segments of 100 rows."""
+    raw = events.raw_events(spark, "/root/testdata/sf0.001")
+    path = stored_path(raw.withColumn("user_id", F.when(F.col("event_id") % 10 < 9, 1).otherwise(F.col("user_id")).cast("bigint")))
+    found = []
+    for rows in (1_000_000, 100):
+        spark.conf.set(sizing.SEGMENT_KEY, rows)
+        try:
+            began = time.time()
+            m = ledger.build(events.session_log(spark, path), events.RATES)
+            rec = ledger.reconcile(m.turns, m.attributions)
+            assert time.time() - began < 30
+        finally:
+            spark.conf.unset(sizing.SEGMENT_KEY)
+        found.append(sorted(map(tuple, rec.collect())))
+    assert found[0] == found[1] and len(found[0]) > 1
+
+
+def stored_path(df):
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def test_places_and_offsets_over_slices(spark):
+    df = spark.range(0, 300).select((F.col("id") * 7 % 300).alias("v"), F.concat(F.lit("s"), (F.col("id") * 7 % 300)).alias("name"))
+    ranked = grouped.spread_rank(df, [], [F.desc("v")], "place")
+    assert sorted((r.v, r.place) for r in ranked.collect()) == [(v, 300 - v) for v in range(300)]
+    offsets = {r.name: r.o for r in grouped.running_offsets(df, "name", "v", "o").collect()}
+    total = 0
+    for name in sorted(offsets):
+        assert offsets[name] == total
+        total += int(name[1:])

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import money
@@ -9,11 +8,10 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_shares_sum_to_the_pool_and_forms_agree(spark, wide):
+def test_shares_sum_to_the_pool(spark):
     rows = [(g, p, w, i) for g, (p, ws) in enumerate(CASES) for i, w in enumerate(ws)]
     df = spark.createDataFrame(rows, "g int, pool bigint, w bigint, pos int")
-    got = {(r.g, r.pos): r.share for r in money.allocate(df, ["g"], "pool", "w", [F.col("pos")], wide=wide).collect()}
+    got = {(r.g, r.pos): r.share for r in money.allocate(df, ["g"], "pool", "w", [F.col("pos")]).collect()}
     for g, (pool, ws) in enumerate(CASES):
         assert sum(got[g, i] for i in range(len(ws))) == pool
     assert [got[7, i] for i in range(3)] == [4, 3, 3]
@@ -25,3 +23,14 @@ def test_shares_sum_to_the_pool_and_forms_agree(spark, wide):
 def test_half_even_cost(spark):
     df = spark.createDataFrame([(1, 500000), (3, 500000), (5, 500000), (7, 500000)], "t bigint, r bigint")
     assert [r[0] for r in df.orderBy("t").select(money.cost_micros(F.col("t"), F.col("r"))).collect()] == [0, 2, 2, 4]
+
+
+def test_costs_equal_exact_rounding(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    rows = [(t, r, m) for t in (0, 1, 7, 999_999, 123_456_789_012) for r in (0, 1, 500_000, 6_250_001, 75_000_000) for m in (100_000, 1_250_000, 2_000_000, 999_999)]
+    df = spark.createDataFrame(rows, "t bigint, r bigint, m bigint")
+    for x in df.select("*", money.cost_micros(F.col("t"), F.col("r"), F.col("m")).alias("c"), money.cost_micros(F.col("t"), F.col("r")).alias("p")).collect():
+        exact = Decimal(x.t) * x.r / 10**6
+        assert x.p == int(exact.quantize(Decimal(1), ROUND_HALF_EVEN))
+        assert x.c == int((exact * x.m / 10**6).quantize(Decimal(1), ROUND_HALF_EVEN))
