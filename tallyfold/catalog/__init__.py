@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ev_core", "ev_model", "ev_report", "li", "pg", "doc", "cv", "logs", "rates", "stored", "live")
+MODULES = ("ev_core", "ev_model", "ev_report", "li", "pg", "doc", "cv", "logs", "rates", "feed", "stored", "live")
 
 
 def load():
