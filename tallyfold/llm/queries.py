@@ -47,7 +47,7 @@ def op1_reply_order(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.findings(table(spark, sf, "documents"))
-    return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+    return found.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
 
 
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:

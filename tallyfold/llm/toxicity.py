@@ -48,30 +48,34 @@ class Settings:
 
 
 class Automaton:
-    """The Levenshtein automaton of a word: states are edit distances of its prefixes, kept up to ``edits``."""
+    """The Levenshtein automaton of a word, its states as bits.
+
+    A state holds, for each number of edits, the lengths of the word's beginnings that what was
+    read so far may stand for with so many edits.
+    """
 
     def __init__(self, word: str, edits: int) -> None:
-        self.word, self.edits = word, edits
+        self.edits, self.full, self.end = edits, (2 << len(word)) - 1, 1 << len(word)
+        self.letters: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.letters[c] = self.letters.get(c, 0) | 1 << i
 
-    def start(self) -> tuple[tuple[int, int], ...]:
-        return tuple((i, i) for i in range(min(self.edits, len(self.word)) + 1))
+    def start(self) -> tuple[int, ...]:
+        return tuple((2 << e) - 1 & self.full for e in range(self.edits + 1))
 
-    def step(self, state: tuple[tuple[int, int], ...], letter: str) -> tuple[tuple[int, int], ...]:
-        best: dict[int, int] = {}
-        for i, d in state:
-            if d < best.get(i, self.edits) or (i not in best and d + 1 <= self.edits):
-                best[i] = min(best.get(i, self.edits + 1), d + 1)
-            if i < len(self.word):
-                cost = d + (self.word[i] != letter)
-                if cost <= self.edits:
-                    best[i + 1] = min(best.get(i + 1, self.edits + 1), cost)
-        for i in range(len(self.word)):
-            if i in best and best[i] < self.edits:
-                best[i + 1] = min(best.get(i + 1, self.edits + 1), best[i] + 1)
-        return tuple(sorted((i, d) for i, d in best.items() if d <= self.edits))
+    def step(self, state: tuple[int, ...], letter: str) -> tuple[int, ...] | None:
+        """The state after one more letter; None if no word within reach can follow."""
+        same = self.letters.get(letter, 0)
+        less, new = 0, 0
+        out = []
+        for e, now in enumerate(state):
+            new = (now & same) << 1 | (less | less << 1 | new << 1 if e else 0)
+            out.append(new & self.full)
+            less = now
+        return tuple(out) if out[-1] else None
 
-    def distance(self, state: tuple[tuple[int, int], ...]) -> int | None:
-        return next((d for i, d in state if i == len(self.word)), None)
+    def distance(self, state: tuple[int, ...]) -> int | None:
+        return next((e for e, now in enumerate(state) if now & self.end), None)
 
 
 class Lexicon:
@@ -81,39 +85,63 @@ class Lexicon:
         self.settings = settings
         self.words = {t: w for t, stem, w in terms if not stem}
         self.stems = {t: w for t, stem, w in terms if stem}
-        self.trie: dict = {}
-        heads, tails = set(), set()
+        # Terms and reversed terms; one edit leaves one half of a term as it is, by which a walk may enter.
+        self.tries: tuple[dict, dict] = ({}, {})
+        self.halves: dict[int, tuple[set[str], set[str]]] = {}
         for t in self.words:
             if len(t) >= settings.shortest_misspelled and t not in exact_only:
-                node = self.trie
-                for c in t:
-                    node = node.setdefault(c, {})
-                node[""] = t
-                heads.add(t[:2])
-                tails.add(t[-2:])
-        # One edit leaves either the first two or the last two letters of a word of four or more.
-        self.ends = (heads, tails) if settings.max_edits == 1 and settings.shortest_misspelled >= 4 else None
+                for trie, letters in zip(self.tries, (t, t[::-1]), strict=True):
+                    for c in letters:
+                        trie = trie.setdefault(c, {})
+                    trie[""] = t
+                heads, tails = self.halves.setdefault(len(t), (set(), set()))
+                heads.add(t[: len(t) // 2])
+                tails.add(t[len(t) // 2 :][::-1])
         self.memo = Memo(100_000)
         self.innocent: set[str] = set()
 
     def misspelled(self, word: str) -> list[tuple[int, str]]:
-        """(edits, term) for the terms within reach of the word: the automaton and the trie walked together."""
-        if len(word) + self.settings.max_edits < self.settings.shortest_misspelled:
-            return []
-        if self.ends and word[:2] not in self.ends[0] and word[-2:] not in self.ends[1]:
+        """(edits, term) for the terms within reach of the word: the automaton and a trie walked together.
+
+        With one edit the walk goes down the halves of terms that the word begins or ends with and
+        branches below them only; with more it begins at the root.
+        """
+        s = self.settings
+        if len(word) + s.max_edits < s.shortest_misspelled:
             return []
-        automaton = Automaton(word, self.settings.max_edits)
-        found, stack = [], [(self.trie, automaton.start())]
+        if s.max_edits != 1:
+            return sorted(self._walk(word, 0, {""}))
+        found: set[tuple[int, str]] = set()
+        for side, letters in enumerate((word, word[::-1])):
+            entries = set()
+            for size in range(len(word) - 1, len(word) + 2):
+                ends = self.halves.get(size)
+                if ends:
+                    half = letters[: size // 2 if side == 0 else size - size // 2]
+                    if half in ends[side]:
+                        entries.add(half)
+            if entries:
+                found |= self._walk(letters, side, entries)
+        return sorted(found)
+
+    def _walk(self, letters: str, side: int, entries: set[str]) -> set[tuple[int, str]]:
+        automaton = Automaton(letters, self.settings.max_edits)
+        found, stack = set(), []
+        for entry in entries:
+            node, state = self.tries[side], automaton.start()
+            for c in entry:
+                node, state = node[c], automaton.step(state, c)
+            stack.append((node, state))
         while stack:
             node, state = stack.pop()
             for letter, child in node.items():
                 if letter == "":
                     d = automaton.distance(state)
                     if d is not None:
-                        found.append((d, child))
-                elif after := automaton.step(state, letter):
+                        found.add((d, child))
+                elif (after := automaton.step(state, letter)) is not None:
                     stack.append((child, after))
-        return sorted(found)
+        return found
 
     def hits(self, words: list[str]) -> bool:
         """Whether any of the words is in the lexicon or near it; innocent ones are remembered, a bounded number."""
