@@ -269,10 +269,12 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
     """
     settings = settings or Settings()
     rows = pick(labelled, "text", "toxic").where("toxic is not null").limit(settings.train_rows)
-    # Of near copies about one is learned from, so that their rare words don't look toxic: copies
-    # mostly share the long word of the smallest hash. A limit leaves one partition; the rows are dealt out again.
-    long = F.array_min(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{8,}"), F.lit(0)), lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("copies", F.coalesce(long, F.xxhash64("text"))).dropDuplicates(["copies", "toxic"]).drop("copies")
+    # Of near copies few are learned from, so that their rare words don't look toxic: copies mostly share
+    # the three words of the smallest hash. A limit leaves one partition; the rows are dealt out again.
+    triple = "xxhash64(w[i], get(w, i + 1), get(w, i + 2))"
+    least = F.expr(f"array_min(transform(sequence(0, greatest(size(w) - 3, 0)), i -> {triple}))")
+    rows = rows.withColumn("w", F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).withColumn("copies", least)
+    rows = rows.dropDuplicates(["copies", "toxic"]).drop("copies", "w")
     rows = saved(rows.repartition(TRAIN_TASKS, F.xxhash64("text")), "toxicity-rows")
     n = {r.toxic: r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
