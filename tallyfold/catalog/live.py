@@ -1,13 +1,34 @@
-"""Streaming queries over the events table."""
+"""Streaming queries over the events table, which arrives in several batches."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallyfold.catalog.ev_sql import ev_sql
 from tallyfold.catalog.registry import query
+from tallyfold.operators import residency as res
+from tallyfold.sources import events
 from tallyfold.streaming import live
 
+BATCHES = 4
+
 
 @query("t2_running_cost", ev_sql("""
-SELECT session_id, CAST(sum(output_micros) AS BIGINT) AS output_micros, count(*) AS turns FROM turns GROUP BY 1"""))
+SELECT session_id, CAST(sum(fresh_micros) AS BIGINT) AS fresh_micros, CAST(sum(write_micros) AS BIGINT) AS write_micros, CAST(sum(read_micros) AS BIGINT) AS read_micros,
+ CAST(sum(output_micros) AS BIGINT) AS output_micros, CAST(sum(total_micros) AS BIGINT) AS total_micros, count(*) AS turns FROM turns GROUP BY 1"""))
 def t2(spark, sf):
-    return live.run_available(live.running_cost(live.event_stream(spark, sf)), spark)
+    """Charges of each session kept up to date over four batches; equal to the batch run at the end."""
+    log = events.session_log(spark, sf).filter("is_turn").drop(*res.NOT_OF_TURN)
+    table = live.run_available(live.running_cost(live.arriving(log, "ts", BATCHES)), spark)
+    return live.latest(table, "session_id")
+
+
+@query("t4_streaming_dedup", """
+SELECT event_type, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1""")
+def t4(spark, sf):
+    """Events of which some arrive again within the day, once each."""
+    raw = events.raw_events(spark, sf).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    again = raw.filter("event_id % 17 = 0").withColumn("ts", F.expr("ts + INTERVAL 5 HOURS"))
+    stream = live.arriving(raw.unionByName(again), "ts", BATCHES)
+    once = live.run_available(live.deduplicated(stream, "event_id", "ts", "1 day"), spark, "append")
+    return once.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"))

@@ -11,35 +11,46 @@ from tallyfold.operators import ledger
 from tallyfold.session import shared_dir
 from tallyfold.sources import events
 
-K = F.get_json_object("props", "$.k").cast("bigint")
+CHARGES = ["fresh_micros", "write_micros", "read_micros", "output_micros", "total_micros"]
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+def arriving(log: DataFrame, order: str, files: int, per_batch: int = 1) -> DataFrame:
+    """A stream of rows that come in ``files`` files in their order, ``per_batch`` of them at a time."""
+    path = f"{shared_dir(log.sparkSession)}/arriving-{uuid.uuid4().hex}"
+    log.repartitionByRange(files, order).write.parquet(path)
+    return log.sparkSession.readStream.schema(log.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def running_cost(stream: DataFrame) -> DataFrame:
-    """Output cost and turns per session; only the two sums are state, folded before the shuffle."""
-    turns = stream.filter("event_type = 'purchase'")
-    model = F.when(K % 10 == 0, "m-mid").when(F.col("user_id") % 2 == 0, "m-large").otherwise("m-small")
-    rated = turns.select(F.col("user_id").alias("session_id"), model.alias("model"), (K * 2).alias("output_tokens")).join(
-        events.RATES.dimension(stream.sparkSession), "model", "left"
-    )
-    cost = ledger.cost_micros(F.col("output_tokens"), F.col("output_rate"))
-    return rated.groupBy("session_id").agg(F.sum(cost).alias("output_micros"), F.count(F.lit(1)).alias("turns"))
+def running_cost(turns: DataFrame) -> DataFrame:
+    """The observed charges and turns of each session; only these sums are state. An unknown model is an error."""
+    priced = ledger.priced(turns, events.RATES)
+    return priced.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in CHARGES], F.count(F.lit(1)).alias("turns"))
+
+
+def deduplicated(stream: DataFrame, key: str, ts: str, late: str) -> DataFrame:
+    """The first row of each key; a key is forgotten once ``late`` has passed, so state stays bounded."""
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(result: DataFrame, spark: SparkSession) -> DataFrame:
-    """Process what has arrived; each batch replaces the written table, so a retry changes nothing."""
+def run_available(result: DataFrame, spark: SparkSession, mode: str = "update") -> DataFrame:
+    """Process all that has arrived, batch by batch; the rows of each batch with its number, ``batch``.
+
+    A batch writes its own folder anew, so a repeated batch changes nothing.
+    """
     base = f"{shared_dir(spark)}/running-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/table")
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/table/batch={batch}")
 
     job = (
-        result.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state")
+        result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
         .foreachBatch(write).trigger(availableNow=True).start()
     )
     job.awaitTermination()
     return spark.read.parquet(f"{base}/table")
+
+
+def latest(table: DataFrame, key: str) -> DataFrame:
+    """The row of each key from the last batch that changed it."""
+    values = [c for c in table.columns if c not in (key, "batch")]
+    return table.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(key, "v.*")
