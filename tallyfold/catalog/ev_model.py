@@ -257,12 +257,41 @@ def r5(spark, sf):
     return checks.row_constraints(m.attributions, m.lanes, m.events)
 
 
+@query("r5_tampered_rows", ev_sql("""
+SELECT 'attribution' AS tbl, count(*) AS checked, count(*) FILTER (component = 'output' AND turn_index % 5 = 0) AS violations FROM att
+UNION ALL SELECT 'cache_lane', count(*), count(*) FILTER (lane = 'uncached' AND turn_index % 3 = 0) FROM lane
+UNION ALL SELECT 'invalidation_event', count(*), count(*) FILTER (forced_micros > 0) FROM event"""))
+def r5_tampered(spark, sf):
+    """The constraints on broken rows: outputs charged to items, lanes above their threshold, negative reloads."""
+    m = model(spark, sf)
+    moved = F.when((F.col("component") == "output") & (F.col("turn_index") % 5 == 0), "item").otherwise(F.col("target_kind"))
+    large = F.when(F.col("turn_index") % 3 == 0, F.col("threshold")).otherwise(F.col("size_tokens"))
+    facts = m.attributions.withColumn("target_kind", moved)
+    lanes = m.lanes.withColumn("size_tokens", F.when(F.col("lane") == "uncached", large).otherwise(F.col("size_tokens")))
+    return checks.row_constraints(facts, lanes, m.events.withColumn("forced_micros", -F.col("forced_micros")))
+
+
 @query("r6_duplicate_write_ledger", ev_sql("""
 SELECT count(*) AS turns, count(DISTINCT (session_id, turn_index)) AS distinct_turns, count(*) - count(DISTINCT (session_id, turn_index)) AS duplicates FROM turns"""))
 def r6(spark, sf):
     return checks.duplicate_ledger(model(spark, sf).turns)
 
 
+@query("r6_tampered_turns", ev_sql("""
+SELECT count(*) + count(*) FILTER (turn_index % 10 = 0) AS turns, count(*) AS distinct_turns, count(*) FILTER (turn_index % 10 = 0) AS duplicates FROM turns"""))
+def r6_tampered(spark, sf):
+    """The duplicate check where every tenth turn is written twice."""
+    turns = model(spark, sf).turns
+    return checks.duplicate_ledger(turns.unionByName(turns.filter("turn_index % 10 = 0")))
+
+
+@query("r7_single_policy", ev_sql("""
+SELECT CAST(1 AS BIGINT) AS policies, count(*) > 0 AS single_policy, count(*) AS rows FROM rec"""))
+def r7_single(spark, sf):
+    m = model(spark, sf)
+    return checks.policy_mix(lg.reconcile(m.turns, m.attributions).withColumn("policy", F.lit("proportional")))
+
+
 @query("r7_policy_mix", ev_sql("""
 SELECT CAST(2 AS BIGINT) AS policies, FALSE AS single_policy, 2 * count(*) AS rows FROM rec"""))
 def r7(spark, sf):
