@@ -32,12 +32,12 @@ class Settings:
     degree: int = 32
     sample: int = 20
     told: int = 16
-    rounds: int = 5
+    rounds: int = 4
     least_change: float = 0.02
     trees: int = 8
     block: int = 256
     beam: int = 192
-    width: int = 24
+    width: int = 64
     hops: int = 24
     seed: int = 7
 
