@@ -19,12 +19,18 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import framed, pick, saved
 
-#: A run of 16 or more characters of keys and tokens with a digit in it, or any value of eight or more
-#: characters that is set to a credential's name.
-RUN = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]{0,64}[0-9])[A-Za-z0-9_+/=.-]{16,4096}(?![A-Za-z0-9_+/=.-])"
+#: Any value of eight or more characters that is set to a credential's name, up to the next parameter of a URL, or
+#: else a run of 16 or more characters of keys and tokens with a digit in it. A run after 'name=' begins behind the sign.
+MEMBER = "[A-Za-z0-9_+/=.-]"
+NAME = "[A-Za-z_][A-Za-z0-9_.-]{0,127}="
+START = f"(?:(?<!{MEMBER})|(?<==)(?<=(?<!{MEMBER}){NAME}))(?!{NAME}[A-Za-z0-9_+/.-])"
+RUN = START + r"(?=[A-Za-z_+/=.-]{0,64}[0-9])[A-Za-z0-9_+/=.-]{16,4096}(?![A-Za-z0-9_+/=.-])"
 CREDENTIAL = r"(?i)(?:secret|token|passw(?:or)?d|passwd|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
-VALUE = r"(?<=(?:secret|token|password|passwd|pwd|key|auth|credential|credentials)[\"']?\s{0,2}[:=]\s{0,2}[\"']?)(?<![A-Za-z0-9_+/=.-])[^\s\"',;]{8,4096}"
-CANDIDATE = f"(?:{RUN})|(?i:{VALUE})"
+VALUE = (
+    r"(?<=[:=\s\"'])(?<=(?:secret|token|password|passwd|pwd|key|auth|credential|credentials)[\"']?\s{0,2}[:=]\s{0,2}[\"']?)"
+    r"(?:(?!&[\w.~%-]{1,64}=)[^\s\"',;]){8,4096}+"
+)
+CANDIDATE = f"(?i:{VALUE})|(?:{RUN})"
 #: Formats that providers document; plain values.
 PROVIDERS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)$"
 INNOCENT = r"(?i)\b(?:example|sample|test|dummy|sha\d*|md5|commit|checksum|hash|etag|digest|order|invoice|card|phone|isbn|uuid|page|id)\b"
@@ -68,7 +74,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         "part",
         F.expr("aggregate(slice(ends, 1, part), 0L, (a, x) -> a + x)").alias("start"),
         F.expr("p[part]").alias("candidate"),
-        F.expr(f"right(p[part - 1], {BESIDE})").alias("before"),
+        # A long name can be a candidate itself; what stands before goes across it.
+        F.expr(f"right(array_join(slice(p, greatest(1, part - 4), least(5, part)), ''), {BESIDE})").alias("before"),
         F.expr(f"left(get(p, part + 1), {BESIDE})").alias("after"),
     )
 
@@ -80,6 +87,11 @@ def dictionary(docs: DataFrame, settings: Settings) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(settings.dictionary).select("word")
 
 
+def _documented() -> Column:
+    """Whether the candidate, without padding or a full stop after it, has a provider's format."""
+    return F.expr("trim(TRAILING '.=' FROM candidate)").rlike(PROVIDERS)
+
+
 def _count(pattern: str) -> Column:
     return F.expr(f"regexp_count(candidate, r'{pattern}')").cast("double")
 
@@ -117,7 +129,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         F.coalesce(F.col("before").rlike(r"[:=]\s*[\"']?$"), F.lit(False)).cast("double").alias("assigned"),
         F.coalesce(F.col("before").rlike("[\"']$"), F.lit(False)).cast("double").alias("quoted"),
         near.rlike(INNOCENT).cast("double").alias("innocent"),
-        F.col("candidate").rlike(PROVIDERS).cast("double").alias("provider"),
+        _documented().cast("double").alias("provider"),
     )
 
 
@@ -129,7 +141,7 @@ def distant_labels(found: DataFrame) -> DataFrame:
     """
     close = F.coalesce(F.col("before").rlike(CREDENTIAL + r"[\w-]{0,20}[\"']?\s{0,3}[:=]\s{0,3}[\"']?$"), F.lit(False))
     far = ~F.coalesce(F.col("before").rlike(CREDENTIAL), F.lit(False))
-    known = F.col("candidate").rlike(PROVIDERS)
+    known = _documented()
     return found.withColumn("label", F.when(known | close, 1.0).when(far, 0.0)).where("label is not null")
 
 

@@ -60,3 +60,24 @@ def test_forest_on_held_out_findings(spark):
     scored = secrets.findings(docs(spark, rows), learn).join(found.where("row % 2 <> 0").select("row", "part", "label"), ["row", "part"])
     right, total = scored.agg(F.sum((F.col("secret") == (F.col("label") == 1)).cast("int")), F.count("*")).first()
     assert total > 40 and right / total > 0.95
+
+
+def test_unspaced_names_parameters_and_ends_of_sentences(spark):
+    rows, _ = made()
+    key = "AKIA" + "Q7ZT" * 4
+    told = {
+        1000: ("export DB_PASSWORD=Sup3rS3cretPassw0rd now", "Sup3rS3cretPassw0rd"),
+        1001: ("aws_secret_access_key=wJalrXUtnFEMI/K7MDENG+bPxRfiCY09+kEy1aaa and", "wJalrXUtnFEMI/K7MDENG+bPxRfiCY09+kEy1aaa"),
+        1002: ("API_TOKEN=ghp_16C7e42F292c6912E7710c838347Ae178B4a", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"),
+        1003: ("see https://a.example/x?token=ab12cd34ef56ab78&next=/home/page1 there", "ab12cd34ef56ab78"),
+        1004: ('SERVICE_2_SECRET_ACCESS_KEY="9f8e7d6c5b4a39281706f5e4d3c2b1a0"', "9f8e7d6c5b4a39281706f5e4d3c2b1a0"),
+        1005: (f"The old one was {key}.", key + "."),
+        1006: ("and FOO_BAR=ghp_16C7e42F292c6912E7710c838347Ae178B4a.", "ghp_16C7e42F292c6912E7710c838347Ae178B4a."),
+        1007: ("password=Pa55!word#9$ then", "Pa55!word#9$"),
+    }
+    df = docs(spark, rows + [(k, t) for k, (t, _) in told.items()])
+    found = secrets.candidates(df).where("doc_id >= 1000")
+    labels = {(r.doc_id, r.candidate): r.label for r in secrets.distant_labels(found).collect()}
+    assert all(labels.get((k, v)) == 1.0 for k, (_, v) in told.items()), labels
+    flagged = {(r.doc_id, r.candidate) for r in secrets.findings(df).where("secret").collect()}
+    assert {(k, v) for k, (_, v) in told.items()} <= flagged
