@@ -45,7 +45,6 @@ class Settings:
 
     train_rows: int = 20_000
     dictionary: int = 5_000
-    dictionary_rows: int = 5_000
     trees: int = 24
     depth: int = 6
     seed: int = 11
@@ -81,9 +80,12 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, settings: Settings) -> DataFrame:
-    """The commonest words of four or more letters of a bounded sample of texts (by a hash of the text)."""
-    some = pick(docs, "text").where("text is not null").withColumn("h", F.xxhash64("text")).orderBy("h").limit(settings.dictionary_rows)
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("word"))
+    """The commonest words of four or more letters, by the number of different texts that hold them.
+
+    All texts count, copies once; only the commonest words leave the aggregate.
+    """
+    texts = pick(docs, "text").where("text is not null").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"])
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(settings.dictionary).select("word")
 
 

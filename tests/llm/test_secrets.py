@@ -81,3 +81,13 @@ def test_unspaced_names_parameters_and_ends_of_sentences(spark):
     assert all(labels.get((k, v)) == 1.0 for k, (_, v) in told.items()), labels
     flagged = {(r.doc_id, r.candidate) for r in secrets.findings(df).where("secret").collect()}
     assert {(k, v) for k, (_, v) in told.items()} <= flagged
+
+
+def test_dictionary_counts_all_texts_and_copies_once(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    made_up = [("word" + str(k).translate(letters) + end,) for k in range(10_000) for end in ("", " hidden")]
+    ranked = [r.t for r in spark.createDataFrame(made_up, "t string").orderBy(F.xxhash64("t")).collect()]
+    # 5,000 texts of small hash, and behind them 400 texts with one word in common.
+    rows = [(k, t) for k, t in enumerate([t for t in ranked if " " not in t][:5000] + [t for t in ranked if " " in t][-400:])]
+    df = docs(spark, rows + [(9000, "copied")] * 900)
+    assert secrets.dictionary(df, secrets.Settings(dictionary=1)).collect()[0].word == "hidden"
