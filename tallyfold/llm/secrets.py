@@ -24,11 +24,11 @@ from tallyfold.llm.common import framed, pick, saved
 MEMBER = "[A-Za-z0-9_+/=.-]"
 NAME = "[A-Za-z_][A-Za-z0-9_.-]{0,127}="
 START = f"(?:(?<!{MEMBER})|(?<==)(?<=(?<!{MEMBER}){NAME}))(?!{NAME}[A-Za-z0-9_+/.-])"
-RUN = START + r"(?=[A-Za-z_+/=.-]{0,64}[0-9])[A-Za-z0-9_+/=.-]{16,4096}(?![A-Za-z0-9_+/=.-])"
+RUN = START + f"(?=[A-Za-z_+/=.-]*+[0-9]){MEMBER}{{16,}}+"
 CREDENTIAL = r"(?i)(?:secret|token|passw(?:or)?d|passwd|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
 VALUE = (
     r"(?<=[:=\s\"'])(?<=(?:secret|token|password|passwd|pwd|key|auth|credential|credentials)[\"']?\s{0,2}[:=]\s{0,2}[\"']?)"
-    r"(?:(?!&[\w.~%-]{1,64}=)[^\s\"',;]){8,4096}+"
+    r"(?:(?!&[\w.~%-]{1,64}=)[^\s\"',;]){8,}+"
 )
 CANDIDATE = f"(?i:{VALUE})|(?:{RUN})"
 #: Formats that providers document; plain values.

@@ -91,3 +91,16 @@ def test_dictionary_counts_all_texts_and_copies_once(spark):
     rows = [(k, t) for k, t in enumerate([t for t in ranked if " " not in t][:5000] + [t for t in ranked if " " in t][-400:])]
     df = docs(spark, rows + [(9000, "copied")] * 900)
     assert secrets.dictionary(df, secrets.Settings(dictionary=1)).collect()[0].word == "hidden"
+
+
+def test_long_candidates_are_taken_whole(spark):
+    rnd = random.Random(3)
+    value = "".join(rnd.choice("abcdefGHIJKL0123456789+/") for _ in range(10_000))
+    late = "abcdefghij" * 20 + "7"
+    rows = [(0, f"token={value}!x end"), (1, f"see {value}== here"), (2, f"and {late} here"), (3, f'password: "{"!pA5" * 250_000}" and')]
+    df = docs(spark, rows)
+    got = {r.doc_id: r.candidate for r in secrets.candidates(df).collect()}
+    assert got == {0: value + "!x", 1: value + "==", 2: late, 3: "!pA5" * 250_000}
+    found = secrets.candidates(df).withColumn("secret", F.lit(True))
+    left = {r[0]: r[1] for r in secrets.redact(df, found).collect()}
+    assert left == {0: "token=[secret] end", 1: "see [secret] here", 2: "and [secret] here", 3: 'password: "[secret]" and'}
