@@ -6,9 +6,10 @@ backward, meet at it and learn of each other where that betters their lists. Rou
 when few lists change. A search then holds, per query, the scored vectors it has seen; each hop expands
 its best ones not expanded yet by a join with the graph, until no query has any left.
 
-Blocks and samples are bounded, so a group of equal vectors can't make a task large; all
-state lives in written tables. The graph is approximate (recall is measured in the tests); the
-scores that are returned are computed from the original vectors in double precision.
+Equal vectors are one node of the graph and are told apart by vec_id at the end. Blocks and samples are
+bounded, so a group of nearly equal ones can't make a task large; all state lives in written tables. The graph is approximate (recall is measured in the tests); the
+scores that are returned are computed from the original vectors in double precision. Before that a score is the squared distance
+of the unit vectors, negative, which tells vectors apart whose cosines are equal in single precision.
 """
 
 from __future__ import annotations
@@ -38,17 +39,16 @@ class Settings:
     block: int = 256
     beam: int = 192
     width: int = 64
-    hops: int = 24
     seed: int = 7
 
 
 def unit(batch: pd.Series) -> np.ndarray:
-    """Rows of unit length from byte strings of half precision, in which vectors travel."""
-    return np.frombuffer(b"".join(batch), np.float16).reshape(len(batch), -1).astype(np.float32)
+    """Rows of unit length from byte strings of single precision, in which vectors travel."""
+    return np.frombuffer(b"".join(batch), np.float32).reshape(len(batch), -1)
 
 
 def vectors(table: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """node (a number for each row), vec_id, v (double), unit (bytes), written.
+    """row (a number), node (a hash of the vector, one for equal ones), vec_id, v (double), unit (bytes), written.
 
     Rows that are null, empty, zero, of another dimension than most rows', or hold null or
     non-finite components take no part. Rows that share an id are vectors of their own.
@@ -64,11 +64,11 @@ def vectors(table: DataFrame, id_column: str = "vec_id", column: str = "embeddin
             for v in batch["v"]:
                 v = np.asarray(v, float)
                 v = v / np.abs(v).max()
-                units.append((v / np.linalg.norm(v)).astype(np.float16).tobytes())
+                units.append((v / np.linalg.norm(v)).astype(np.float32).tobytes())
             batch["unit"] = pd.Series(units, dtype=object, index=batch.index)
             yield batch
 
-    out = saved(rows.mapInPandas(run, "vec_id long, v array<double>, unit binary").withColumn("node", F.monotonically_increasing_id()), "vectors")
+    out = saved(rows.mapInPandas(run, "vec_id long, v array<double>, unit binary").withColumns({"row": F.monotonically_increasing_id(), "node": F.xxhash64("v")}), "vectors")
     common = out.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return out if common is None else out.where(F.size("v") == common.d)
 
@@ -128,18 +128,20 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iter
 
 def _pairs(node: np.ndarray, x: np.ndarray, told: int, new: np.ndarray | None, least: np.ndarray | None) -> pd.DataFrame:
     """For each vector of a block the ``told`` best others, above its worst neighbour where that is given."""
-    score = x @ x.T
-    score[node[:, None] == node[None, :]] = -3
+    x = x.astype(np.float64)
+    length = np.einsum("ij,ij->i", x, x)
+    score = 2 * (x @ x.T) - length[:, None] - length[None, :]
+    score[node[:, None] == node[None, :]] = -9
     if new is not None:
-        score[~(new[:, None] | new[None, :])] = -3
-        score[score <= least[:, None]] = -3
+        score[~(new[:, None] | new[None, :])] = -9
+        score[score <= least[:, None]] = -9
     k = min(told, len(node) - 1)
     if k <= 0:
         return pd.DataFrame({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64), "score": np.empty(0, np.float32)})
     top = np.argpartition(-score, k - 1, axis=1)[:, :k]
     best = np.take_along_axis(score, top, axis=1)
-    good = best > -3
-    return pd.DataFrame({"src": np.repeat(node, k).reshape(-1, k)[good], "dst": node[top][good], "score": best[good]})
+    good = best > -9
+    return pd.DataFrame({"src": np.repeat(node, k).reshape(-1, k)[good], "dst": node[top][good], "score": best[good].astype(np.float32)})
 
 
 def graph(points: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -163,8 +165,8 @@ def graph(points: DataFrame, settings: Settings | None = None) -> DataFrame:
         back = back.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= s.sample)
         meetings = forward.select(F.col("src").alias("at"), F.col("dst").alias("node"), "new")
         meetings = meetings.union(back.select("src", "dst", "new")).groupBy("at", "node").agg(F.max("new").alias("new"))
-        worst = edges.groupBy("src").agg(F.when(F.count("*") >= s.degree, F.min("score")).otherwise(-2.0).cast("float").alias("worst"))
-        own = points.select("node", "unit").join(worst.withColumnRenamed("src", "node"), "node", "left").fillna(-2.0, ["worst"])
+        worst = edges.groupBy("src").agg(F.when(F.count("*") >= s.degree, F.min("score")).otherwise(-8.0).cast("float").alias("worst"))
+        own = points.select("node", "unit").join(worst.withColumnRenamed("src", "node"), "node", "left").fillna(-8.0, ["worst"])
         met = meetings.join(own, "node").repartition("at").sortWithinPartitions("at")
         told = met.select("at", "node", "unit", "new", "worst").mapInPandas(meet, "src long, dst long, score float").withColumn("new", F.lit(True))
         known = ranked.select("src", "dst", "score", (F.col("new") & (F.col("rank") > s.sample)).alias("new"))
@@ -183,10 +185,15 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, settings: Settings | None = None) -> DataFrame:
+#: Parts over which the queries of one node are spread.
+SPREAD = 16
+
+
+def search(rows: DataFrame, points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, settings: Settings | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query, its own row left out.
 
-    ``queries`` has node. Equal scores go to the smaller vec_id. A query without other vectors gives no rows.
+    ``rows`` are all vectors, ``points`` one of each node; ``queries`` are some of the rows. Equal scores go to
+    the smaller vec_id. A query without other vectors gives no rows.
     """
     s = settings or Settings()
     both = edges.select("src", "dst").union(
@@ -197,18 +204,18 @@ def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, sett
     )
     links = saved(both.distinct(), "search-graph")
     units = points.select("node", "unit")
-    asked = saved(queries.select(F.col("node").alias("query")).join(units.withColumnRenamed("node", "query"), "query"), "queries")
+    asked = saved(queries.select(F.col("node").alias("query")).distinct().join(units.withColumnRenamed("node", "query"), "query"), "queries")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                score = np.einsum("ij,ij->i", unit(batch["asked"]), unit(batch["unit"]))
-                yield pd.DataFrame({"query": batch["query"], "node": batch["node"], "score": score})
+                apart = unit(batch["asked"]) - unit(batch["unit"])
+                yield pd.DataFrame({"query": batch["query"], "node": batch["node"], "score": -np.einsum("ij,ij->i", apart, apart)})
 
     frontier = asked.select("query", F.col("query").alias("node"))
     seen: DataFrame | None = None
     done = frontier
-    for _ in range(s.hops):
+    while True:
         reached = frontier.join(links, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node")).where("query <> node").distinct()
         if seen is not None:
             reached = reached.join(seen.select("query", "node"), ["query", "node"], "left_anti")
@@ -223,18 +230,34 @@ def search(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, sett
         if not frontier.limit(1).count():
             break
         done = done.union(frontier)
+    # Single precision chose these; double precision on the original vectors orders the beam and all that rounding can't tell from the k-th.
     close = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    # Half precision chose these; double precision on the original vectors orders them.
-    few = seen.withColumn("rank", F.row_number().over(close)).where(F.col("rank") <= max(s.beam, 4 * k)).select("query", "node")
-    a = points.select(F.col("node").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("a"))
-    b = points.select("node", "vec_id", F.col("v").alias("b"))
-    exact = few.join(a, "query").join(b, "node").select("query", "query_id", "vec_id", "node", cosine("a", "b").alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "node")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = seen.withColumn("rank", F.row_number().over(close))
+    ranked = ranked.withColumn("kth", F.min(F.when(F.col("rank") <= k, F.col("score"))).over(Window.partitionBy("query")))
+    first = points.select(F.size("v").alias("d")).first()
+    # The units are rounded by 2^-24 of their length, the sum of squares by as much for each component.
+    apart = F.sqrt(-F.col("kth").cast("double"))
+    error = apart * 2.0**-20 + 2.0**-40 - F.col("kth") * (4 * ((first.d if first else 1) + 2) * 2.0**-24)
+    few = ranked.where((F.col("rank") <= max(s.beam, 4 * k)) | (F.col("score") >= F.col("kth") - error)).select("query", "node")
+    few = few.union(asked.select("query", F.col("query").alias("node")))
+    a = points.select(F.col("node").alias("query"), F.col("v").alias("a"))
+    exact = few.join(a, "query").join(points.select("node", F.col("v").alias("b")), "node").select("query", "node", cosine("a", "b").alias("score"))
+    # Of equal vectors the k + 1 of smallest vec_id can be among the nearest, the query's own row being one.
+    least = Window.partitionBy("node").orderBy("vec_id", "row")
+    members = rows.select("node", "vec_id", "row").withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1).drop("place")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    top = exact.join(members, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    top = saved(top.select("query", "place", "vec_id", "row", "score"), "nearest").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    own = queries.select(F.col("node").alias("query"), F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"))
+    own = own.withColumn("part", F.pmod(F.xxhash64("query_row"), F.lit(SPREAD)).cast("int"))
+    out = own.join(top, ["query", "part"]).where("query_row <> row")
+    rank = Window.partitionBy("query_row").orderBy("place")
+    return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(table: DataFrame, every: int, k: int, settings: Settings | None = None) -> DataFrame:
     """The ``k`` nearest of each row whose vec_id is divisible by ``every``, against all rows of ``table``."""
-    points = vectors(table)
+    rows = vectors(table)
+    points = saved(rows.select("node", "v", "unit").dropDuplicates(["node"]), "points")
     edges = graph(points, settings)
-    return search(points, edges, points.where(F.col("vec_id") % every == 0), k, settings)
+    return search(rows, points, edges, rows.where(F.col("vec_id") % every == 0), k, settings)

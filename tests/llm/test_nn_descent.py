@@ -50,3 +50,25 @@ def test_small_and_hostile_rows(spark):
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {0: [1, 2, 2], 50: [0, 1, 2]}
     assert nn_descent.nearest(frame(spark, []), 50, 5).count() == 0
     assert nn_descent.nearest(frame(spark, [(0, [1.0])]), 50, 5).count() == 0
+
+
+def test_equal_and_nearly_equal_thirds(spark):
+    rng = np.random.default_rng(5)
+    made = lambda n: rng.standard_normal((n, 24)).astype(np.float32)
+    one, two = made(2)
+    # Equal ones come first by place with their ids falling; the nearly equal ones are closer than half precision.
+    equal = [(9000 - k, [float(x) for x in one]) for k in range(700)]
+    nearly = [(20_000 + k, [float(x) for x in two + np.float32(1e-4) * made(1)[0]]) for k in range(700)]
+    rows = equal + nearly + [(k, [float(x) for x in v]) for k, v in enumerate(made(700))]
+    got = {}
+    for r in nn_descent.nearest(frame(spark, rows), 50, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    hits, total = {}, {}
+    for q, ids, _ in plain(rows, 50, 5):
+        own = [i for _, i in sorted(got[q])]
+        if 8000 < q <= 9000:
+            assert own == [i for i in range(8301, 8307) if i != q][:5]
+        kind = q // 10_000
+        hits[kind] = hits.get(kind, 0) + len(set(ids) & set(own))
+        total[kind] = total.get(kind, 0) + 5
+    assert all(hits[kind] / total[kind] >= 0.9 for kind in total), (hits, total)
