@@ -28,13 +28,16 @@ def _kept(docs: DataFrame, rows: DataFrame, gone: DataFrame, names: list[str]) -
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are scored toxic go; the model is learned from labelled documents outside the held-out fold."""
+    """Documents that are scored toxic go, each judged by its own text beside its row; null text and null ids stay.
+
+    The model is learned from labelled documents outside the held-out fold.
+    """
     labels = table(spark, sf_dir, "labels")
     settings = toxicity.Settings()
     known = labels.where(toxicity.fold() != toxicity.HELD_OUT)
     model = toxicity.train(toxicity.sample(docs, known, settings.train_rows), settings)
-    rows, names = _numbered(docs, "pipeline-toxicity")
-    return _kept(docs, rows, toxicity.scores(rows, model).where(F.col("score") >= toxicity.LEAST_SCORE), names)
+    rows, names = framed(docs, text="text")
+    return rows.where(toxicity.score_of(model, spark, F.col("text")) < toxicity.LEAST_SCORE).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +51,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule accuses go."""
-    rows, names = _numbered(docs, "pipeline-decontamination")
-    found = wu_manber.contamination(rows, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, rows, found.where("contaminated"), names)
+    """Documents that the contamination rule accuses go; a text is judged beside its row, null text stays."""
+    rows, names = framed(docs, text="text")
+    return wu_manber.clean(rows, table(spark, sf_dir, "benchmark")).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

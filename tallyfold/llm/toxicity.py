@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import Memo, pick, saved
@@ -36,10 +36,9 @@ TRAIN_TASKS = 24
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_rows`` bounds the labelled rows that are learned from, ``terms`` the lexicon."""
+    """``train_rows`` bounds the labelled rows that are learned from, and by them the lexicon, which holds every term above the threshold."""
 
     train_rows: int = 20_000
-    terms: int = 512
     least_documents: int = 3
     least_precision: float = 0.6
     max_edits: int = 1
@@ -149,9 +148,10 @@ class Lexicon:
         if not new:
             return False
         bad = [w for w in new if self.look_up(w)]
-        if len(self.innocent) > 800_000:
+        # Both bounds hold its bytes below some 40 MB; a long word is looked up each time, which is quick.
+        if len(self.innocent) > 300_000:
             self.innocent.clear()
-        self.innocent.update(new.difference(bad))
+        self.innocent.update(w for w in new.difference(bad) if len(w) <= 32)
         return bool(bad)
 
     def look_up(self, word: str) -> tuple[float, int, str] | tuple[()]:
@@ -294,7 +294,6 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
         .select("term", "stem", weight.alias("weight"), ratio.alias("ratio"))
         .where((F.col("weight") > 0) & (F.col("ratio") >= least))
         .orderBy(F.desc("ratio"), "term", "stem")
-        .limit(settings.terms)
         .collect()
     )
     lexicon = [(r.term, r.stem, r.weight) for r in chosen]
@@ -358,6 +357,20 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return texts.mapInPandas(run, "doc_id long, score double")
 
 
+def score_of(model: Model, spark: SparkSession, text: Column) -> Column:
+    """The score as a column beside the row: only the text travels to Python, and no row is shuffled."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = sent.value
+        own = Lexicon(m.lexicon, m.settings, m.exact_only)
+        for texts in batches:
+            yield pd.Series([m.score(features(own, t)) for t in texts], dtype=float)
+
+    return run(text)
+
+
 #: The fold that is held out of learning, of four by the checksum of the id's text.
 HELD_OUT = 2
 LEAST_SCORE = 0.3

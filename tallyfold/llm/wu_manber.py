@@ -14,10 +14,11 @@ more passes, each of which adds to the hits of the one before.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +89,23 @@ def windows(item: list[bytes], width: int) -> Iterator[tuple[bytes, ...]]:
         yield tuple(item[k : k + width])
 
 
+def _items(benchmark: DataFrame, pass_bytes: int) -> tuple[DataFrame, int]:
+    """item_id, text of the items that mark anything, and the number of passes that they need."""
+    items = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, max(1, math.ceil(total / pass_bytes))
+
+
+def _patterns(items: DataFrame, k: int, passes: int, width: int) -> dict[tuple[bytes, ...], frozenset[str]]:
+    """The windows of the items of pass ``k`` with the ids of the items that hold them."""
+    patterns: dict[tuple[bytes, ...], set[str]] = {}
+    for row in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect():
+        for w in windows(words(bytes(row.text)), width):
+            patterns.setdefault(w, set()).add(row.item_id)
+    return {p: frozenset(i) for p, i in patterns.items()}
+
+
 _FOUND = [
     T.StructField("doc_id", T.LongType()),
     T.StructField("n_words", T.LongType()),
@@ -108,10 +126,7 @@ def find_contamination(
     ignored. ``pass_bytes`` bounds the item text that one pass broadcasts.
     """
     spark = docs.sparkSession
-    items = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, math.ceil(total / pass_bytes))
+    items, passes = _items(benchmark, pass_bytes)
     state = pick(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
@@ -120,12 +135,7 @@ def find_contamination(
     )
     for k in range(passes):
         last = k == passes - 1
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        patterns: dict[tuple[bytes, ...], set[str]] = {}
-        for row in part:
-            for w in windows(words(bytes(row.text)), width):
-                patterns.setdefault(w, set()).add(row.item_id)
-        sent = spark.sparkContext.broadcast({p: frozenset(i) for p, i in patterns.items()})
+        sent = spark.sparkContext.broadcast(_patterns(items, k, passes, width))
 
         def search(batches: Iterator[pd.DataFrame], sent=sent, last=last) -> Iterator[pd.DataFrame]:
             tables = WuManber(sent.value, block)
@@ -163,3 +173,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"),
     )
+
+
+def _searcher(sent: Broadcast, block: int) -> Callable[..., Column]:
+    """hits of a text after one pass, from the text and its hits before."""
+
+    @F.pandas_udf("binary")
+    def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tables = WuManber(sent.value, block)
+        for texts, hits in batches:
+            out = []
+            for t, before in zip(texts, hits, strict=True):
+                own = words(t)
+                hit = bytearray(before) if before is not None else bytearray(len(own))
+                tables.search(own, hit)
+                out.append(bytes(hit))
+            yield pd.Series(out, dtype=object)
+
+    return search
+
+
+@F.pandas_udf(T.BooleanType())
+def _accused(hits: pd.Series) -> pd.Series:
+    return pd.Series([h.count(1) > 0 and 20 * h.count(1) >= len(h) for h in hits], dtype=bool)
+
+
+def clean(rows: DataFrame, benchmark: DataFrame, *, text: str = "text", width: int = 13, block: int = 2, pass_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``rows``, with all their columns, that the contamination rule does not accuse; names must not clash.
+
+    Only the text and the hits so far travel to Python; rows stay where they are and none is shuffled.
+    """
+    items, passes = _items(benchmark, pass_bytes)
+    marked = rows.withColumn("_hits", F.lit(None).cast("binary"))
+    for k in range(passes):
+        search = _searcher(rows.sparkSession.sparkContext.broadcast(_patterns(items, k, passes, width)), block)
+        marked = marked.withColumn("_hits", search(F.col(text).cast("binary"), F.col("_hits")))
+        if k < passes - 1:
+            marked = saved(marked, "decontamination")
+    return marked.where(~_accused("_hits")).drop("_hits")
