@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, jaccard, nn_descent, quotes, reshard, secrets, toxicity, unigram, warc, wu_manber
+from tallyfold.llm import bitslice, bpe, jaccard, nn_descent, quotes, repair, reshard, secrets, tiles, toxicity, unigram, warc, wu_manber
 from tallyfold.llm.common import table
 
 SHARDS = 24
@@ -68,6 +68,20 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return tiles.near_duplicates(table(spark, sf, "embeddings"), 0.98)
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """A deviation that a long can't hold is null."""
+    return bitslice.whitened(table(spark, sf, "embeddings"), 32).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return repair.repair(rows, repair.damaged(rows))
+
+
 QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_decontaminate": op4_decontaminate,
@@ -79,6 +93,9 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_neighbours": op9_neighbours,
     "op10_warc": op10_warc,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_whitening": op12_whitening,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {}
