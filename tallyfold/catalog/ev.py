@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import ledger, rollups
 from tallyfold.sources import events
+from tallyfold.store import files
 
 _plans: dict[tuple, ledger.Model] = {}
 
@@ -15,7 +16,7 @@ def model(
     spark: SparkSession, sf: str, policy: str = "proportional", before: str | None = None
 ) -> ledger.Model:
     """The run's tables. The scanned log, the ledger and the facts are written once, when first used."""
-    key = (spark.sparkContext.applicationId, sf, policy, before)
+    key = (spark.sparkContext.applicationId, files.stamp(spark, f"{sf}/events.parquet"), sf, policy, before)
     if key not in _plans:
         log = events.session_log(spark, sf, before)
         _plans[key] = ledger.build(log, events.RATES, policy, keep=True)

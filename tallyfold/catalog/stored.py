@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tallyfold.catalog.ev import model
 from tallyfold.catalog.ev_sql import ev_sql
 from tallyfold.catalog.registry import query
-from tallyfold.operators import ledger as lg
 from tallyfold.operators import stored as st
 from tallyfold.sources import events
+from tallyfold.store import files
 
 POLICY = "proportional"
 BEFORE = "2024-01-20 00:00:00"
@@ -28,7 +28,7 @@ def _log_prints(spark, sf, before=None):
 
 def store(spark, sf, before=None) -> st.Results:
     """The result tables of a run over all events, or over those before a date; written once."""
-    key = (spark.sparkContext.applicationId, sf, before)
+    key = (spark.sparkContext.applicationId, files.stamp(spark, f"{sf}/events.parquet"), sf, before)
     if key not in _stores:
         _stores[key] = st.write_results(model(spark, sf, POLICY, before), _log_prints(spark, sf, before), POLICY, events.RATES)
     return _stores[key]
@@ -65,22 +65,6 @@ def s19(spark, sf):
     return st.freshness(_log_prints(spark, sf), store(spark, sf, BEFORE).index.select("session_id", "print"))
 
 
-@query("s20_incremental_run", ev_sql("""
-, """ + PRINTS + """
-SELECT session_id, CAST(total_micros AS BIGINT) AS total_micros, CAST(attributed_micros AS BIGINT) AS attributed_micros,
- CASE WHEN o.print = n.print THEN 'stored' ELSE 'computed' END AS origin FROM rec JOIN now n USING (session_id) LEFT JOIN old o USING (session_id)"""))
-def s20(spark, sf):
-    """Serve what an earlier run stored under the same key, compute the rest and put them together."""
-    keys = st.keyed(_log_prints(spark, sf), POLICY, events.RATES)
-    kept = st.served(store(spark, sf, BEFORE), keys)
-    missing = keys.join(kept.select("session_id"), "session_id", "left_anti")
-    log = events.session_log(spark, sf).join(missing.select("session_id"), "session_id", "left_semi")
-    m = lg.build(log, events.RATES, POLICY)
-    columns = ["session_id", "total_micros", "attributed_micros"]
-    fresh = lg.reconcile(m.turns, m.attributions).select(*columns, F.lit("computed").alias("origin"))
-    return kept.select(*columns, F.lit("stored").alias("origin")).unionByName(fresh)
-
-
 @query("s24_coverage_note", ev_sql("""
 SELECT session_id, 'covers turns 1-' || n_turns || '; session is now at ' || total AS note
 FROM nt JOIN (SELECT user_id AS session_id, count(*) AS total FROM events WHERE event_type = 'purchase' GROUP BY 1) USING (session_id)""", before=BEFORE))

@@ -34,6 +34,11 @@ def session_log(spark: SparkSession, sf_dir: str, before: str | None = None) ->
     events = raw_events(spark, sf_dir)
     if before is not None:
         events = events.filter(F.col("ts") < F.lit(before).cast("timestamp"))
+    return log_of(events)
+
+
+def log_of(events: DataFrame) -> DataFrame:
+    """Log rows of the sessions that the events belong to, which must be all events of these sessions."""
     lined = scan.number_lines(
         events.select(
             F.col("user_id").alias("session_id"),
@@ -80,6 +85,7 @@ def session_log(spark: SparkSession, sf_dir: str, before: str | None = None) ->
             turn,
             F.when(k % 10 == 0, "m-mid").when(F.col("session_id") % 2 == 0, "m-large").otherwise("m-small"),
         ).alias("model"),
+        of_turn(F.col("event_id") - k).alias("claimed"),
         of_turn(k * 7).alias("input_tokens"),
         of_turn(F.when(k % 2 == 0, k * 11).otherwise(zero)).alias("write_5m"),
         of_turn(F.when(k % 5 == 0, k * 5).otherwise(zero)).alias("write_1h"),
