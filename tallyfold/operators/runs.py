@@ -25,6 +25,7 @@ def sessions_of(raw: DataFrame, now: str) -> DataFrame:
     return raw.groupBy(F.col("user_id").alias("session_id")).agg(
         F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.max("event_id").cast("string")).alias("print"),
         (F.max("ts") <= F.expr(f"TIMESTAMP '{now}' - {OPEN_FOR}")).alias("is_complete"),
+        F.count_if(F.col("event_type") == "purchase").alias("n_turns"),
         # A session has a handful of versions; the set is folded before the shuffle.
         F.array_join(F.array_sort(F.collect_set(version)), ",").alias("producing_version"),
         F.lit("/repo").alias("project_path"), F.lit(None).cast("string").alias("transcript_path"),
@@ -59,7 +60,14 @@ def run(store: MergedStore, raw: DataFrame, policy: str, rates: RateTable, now:
     kept = servable(store, keys, policy).withColumn("kept", F.lit(True))
     state = known.join(kept, known["session_id"].cast("string") == kept["session_id"], "left").select(known["*"], F.coalesce("kept", F.lit(False)).alias("kept"))
     state = stored(state.withColumn("kept", F.col("kept") & F.col("is_complete")), "run-state")
-    wanted = state.where("not kept").select(F.col("session_id").alias("user_id"))
+    wanted = state.where("not kept and n_turns > 0").select(F.col("session_id").alias("user_id"))
+    totals = stored_results(store, policy).select(F.col("session_id").cast("bigint").alias("session_id"), "total_micros", "attributed_micros")
+    served = state.where("kept").select("session_id", F.lit("stored").alias("origin")).join(totals, "session_id")
+    served = served.select("session_id", "total_micros", "attributed_micros", "origin")
+    if not wanted.limit(1).count():
+        if stream is not None:
+            store.commit(empty(store), policy, stream, batch)
+        return served
     # The records of sessions to be computed, once for finding models without a rate and once for the run.
     log = events.log_of(raw.join(wanted, "user_id", "left_semi"))
     unknown = tn.unpriceable(log.where("is_turn").select("session_id", "model"), rates.dimension(store.spark))
@@ -67,6 +75,7 @@ def run(store: MergedStore, raw: DataFrame, policy: str, rates: RateTable, now:
     model = ledger.build(log.join(skipped.select("session_id"), "session_id", "left_anti"), rates, policy, keep=True)
     final = state.where("not kept") if keep_open else state.where("not kept and is_complete")
     finished = final.select("session_id")
+    served = stored(served, "run-served")  # before the commit changes what the store says
     computed = model.turns.select("session_id").distinct()
     if computed.join(finished, "session_id", "left_semi").limit(1).count():
         parts = result_tables.tables(model, keys, state, now.replace(" ", "T") + "Z")
@@ -75,11 +84,9 @@ def run(store: MergedStore, raw: DataFrame, policy: str, rates: RateTable, now:
         store.commit(parts, policy, stream, batch)
     elif stream is not None:
         store.commit(empty(store), policy, stream, batch)
-    served = state.where("kept").select("session_id", F.lit("stored").alias("origin"))
     left_out = skipped.select("session_id", F.lit("skipped").alias("origin"))
     done = ledger.reconcile(model.turns, model.attributions).select("session_id", "total_micros", "attributed_micros", F.lit("computed").alias("origin"))
-    totals = stored_results(store, policy).select(F.col("session_id").cast("bigint").alias("session_id"), "total_micros", "attributed_micros")
-    return served.join(totals, "session_id").select(*done.columns).unionByName(done).unionByName(left_out, allowMissingColumns=True)
+    return served.unionByName(done).unionByName(left_out, allowMissingColumns=True)
 
 
 def empty(store: MergedStore) -> dict[str, DataFrame]:

@@ -12,11 +12,13 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from tallyfold.operators.result_tables import CHECKS, REMAINDER, RESULT, TABLES
 from tallyfold.store import files
@@ -24,6 +26,10 @@ from tallyfold.store import files
 PLACE = [T.StructField("commit", T.StringType()), T.StructField("policy", T.StringType()), T.StructField("bucket", T.IntegerType())]
 
 
+#: Tables that are written at the same time.
+WRITERS = 4
+
+
 class Conflict(RuntimeError):
     """Another run has committed since this one read the store."""
 
@@ -102,8 +108,9 @@ class MergedStore:
     def _written(self, tables: Mapping[str, DataFrame], version: int) -> str:
         """The name of a new commit, written and checked."""
         name = f"{version:010d}-{uuid.uuid4().hex[:12]}"
-        for table, ddl in TABLES.items():
-            columns = T.StructType.fromDDL(ddl).fields
+
+        def write(table: str) -> None:
+            columns = T.StructType.fromDDL(TABLES[table]).fields
             ok = F.coalesce(F.expr(CHECKS.get(table, "true")), F.lit(False))
             refuse = F.raise_error(F.concat(F.lit(f"a row of {table} breaks its rules, session "), F.col("session_id").cast("string")))
             rows = tables[table].select(*[F.col(f.name).cast(f.dataType) for f in columns], "policy")
@@ -111,6 +118,11 @@ class MergedStore:
             rows = rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("int"))
             # Rebalancing gathers a bucket into few files and splits one that a large session fills.
             rows.hint("rebalance", F.col("bucket")).write.partitionBy("policy", "bucket").parquet(f"{self.root}/{table}/commit={name}")
+
+        # The small tables' jobs run beside those of the large ones.
+        with ThreadPoolExecutor(WRITERS) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(write), t) for t in TABLES]:
+                done.result()
         fault = restored(self._rows("charge", (name,)), self._rows("turn", (name,)), self._rows("attribution", (name,)), self._rows(RESULT, (name,)))
         bad = fault.where("fault is not null").limit(1).collect()
         if bad:
