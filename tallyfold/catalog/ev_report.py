@@ -9,10 +9,11 @@ from tallyfold.catalog.ev import long, model, rollup
 from tallyfold.catalog.ev_sql import ev_sql
 from tallyfold.catalog.registry import query
 from tallyfold.functions import fixed, money, paths
-from tallyfold.operators import checks, report
+from tallyfold.operators import checks, notes, report
 from tallyfold.operators import ledger as lg
 from tallyfold.operators import residency as res
 from tallyfold.operators import rollups as ro
+from tallyfold.operators import turns as tn
 from tallyfold.plans import grouped
 
 
@@ -310,14 +311,60 @@ def s23(spark, sf):
     return report.session_facts(m.turns, m.items)
 
 
-@query("a26_limitations", ev_sql("""
-, resid AS (SELECT session_id, max(cumulative_tokens - greatest(0, pre_tokens - post_tokens)) AS residual FROM comp GROUP BY 1),
-ver AS (SELECT session_id, count(DISTINCT k % 3) AS versions, string_agg(DISTINCT '2.' || (k % 3), ', ' ORDER BY '2.' || (k % 3)) AS vs FROM turns WHERE k % 9 < 3 GROUP BY 1)
-SELECT session_id, 'residual_drop' AS rule, 'About ' || format('{:,}', residual) || ' tokens left the conversation before a compaction, which leaves no record of what was cleared. That content''s carry cost cannot be attributed to any item.' AS note FROM resid WHERE residual > 0
-UNION ALL SELECT session_id, 'version_span', 'This session spans producing versions ' || vs || '; figures may not be comparable across the boundary.' FROM ver WHERE versions > 1"""))
+NOTES = SPANLANE + """
+, told AS (SELECT t.session_id, list_sort(list_distinct(list('2.' || (t.session_id % 3 + CASE WHEN t.session_id % 2 = 0 AND t.ts >= TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END)))) AS versions FROM turns t GROUP BY 1),
+resid AS (SELECT session_id, max(cumulative_tokens - greatest(0, pre_tokens - post_tokens)) AS residual FROM comp GROUP BY 1),
+conf AS (SELECT session_id, count(*) FILTER (uuid % 34 = 0) AS conflicts FROM turns WHERE uuid % 17 = 0 GROUP BY 1),
+bad AS (SELECT session_id, count(*) FILTER (event_type = 'error' AND k = 0) AS unparseable, max(ts) AS until FROM ev GROUP BY 1),
+facts AS (SELECT told.*, residual, conflicts, unparseable, CASE WHEN session_id % 5 = 0 THEN 'refreshed' ELSE 'explicit' END AS origin, CASE WHEN session_id % 5 = 0 THEN 'unknown' ELSE '2023-10-15' END AS priced_on,
+ CASE WHEN session_id % 5 <> 0 THEN date_diff('day', DATE '2023-10-15', CAST(until AS DATE)) END AS age_days FROM told LEFT JOIN resid USING (session_id) LEFT JOIN conf USING (session_id) LEFT JOIN bad USING (session_id)),
+notes AS (
+ SELECT session_id, 0 AS place, 'imputed' AS rule, 'Costs are API-equivalent estimates imputed from the ' || origin || ' pricing table, rates as published ' || priced_on || '. They are not billed amounts.' AS note, origin AS evidence FROM facts
+ UNION ALL SELECT session_id, 1, 'stripped', 'Some resident instruction content is stripped before the transcript is written, so a portion of the cost is provably absent from the source records.', NULL FROM facts
+ UNION ALL SELECT session_id, 2, 'undated_rates', 'The ' || origin || ' rate table does not record when its rates were published, so how current they are cannot be judged. Replace it with a dated one.', priced_on FROM facts WHERE age_days IS NULL
+ UNION ALL SELECT session_id, 3, 'stale_rates', 'These rates were published ' || age_days || ' days ago (' || priced_on || ') and have not been checked since. Prices change a few times a year; refresh the table to update them.', age_days::VARCHAR FROM facts WHERE age_days >= 90
+ UNION ALL SELECT session_id, 4, 'unparseable', unparseable || ' record(s) could not be parsed and are excluded from every figure here.', unparseable::VARCHAR FROM facts WHERE unparseable > 0
+ UNION ALL SELECT session_id, 5, 'usage_conflict', conflicts || ' exchange(s) appeared more than once with different token counts; the first occurrence was used and the conflict is listed in diagnostics.', conflicts::VARCHAR FROM facts WHERE conflicts > 0
+ UNION ALL SELECT session_id, 6, 'residual_drop', 'About ' || format('{:,}', residual) || ' tokens left the conversation before a compaction, which leaves no record of what was cleared. That content''s carry cost cannot be attributed to any item.', residual::VARCHAR FROM facts WHERE residual > 0
+ UNION ALL SELECT session_id, 7, 'version_span', 'This session spans producing versions ' || array_to_string(versions, ', ') || '; figures may not be comparable across the boundary.', len(versions)::VARCHAR FROM facts WHERE len(versions) > 1)
+"""
+
+
+def session_notes(spark, sf):
+    """What the rules say of each session. Some sessions move to a newer version, some are priced by a table without a date."""
+    m = model(spark, sf)
+    version = F.col("session_id") % 3 + F.when((F.col("session_id") % 2 == 0) & (F.col("ts") >= F.lit("2024-01-15").cast("timestamp")), 1).otherwise(0)
+    turns = m.turns.withColumn("version", F.concat(F.lit("2."), version.cast("string")))
+    copies = tn.with_replays(m.turns)
+    usage = ["input_tokens", "write_5m", "write_1h", "write_unknown", "read_tokens", "output_tokens"]
+    conflicts = tn.conflicts_by_session(copies, ["uuid"], ["file_rank", "line"], usage)
+    undated = F.col("session_id") % 5 == 0
+    whole = m.placed.groupBy("session_id").agg(F.count_if(F.col("is_compaction") & (F.col("k") == 0)).alias("unparseable"), F.to_date(F.max("ts")).alias("until"))
+    provenance = whole.select("session_id", "until", F.when(undated, "refreshed").otherwise("explicit").alias("origin"), F.when(undated, "unknown").otherwise("2023-10-15").alias("priced_on"))
+    facts = notes.session_facts(turns, m.compactions, conflicts, whole.select("session_id", "unparseable"), provenance)
+    return notes.told(facts, notes.SESSION_RULES, "session_id")
+
+
+@query("a26_limitations", ev_sql(NOTES + """
+SELECT session_id, rule, note, evidence FROM notes"""))
 def a26(spark, sf):
+    """Every rule that has something to say of a session, with what it rests on."""
+    return session_notes(spark, sf).select("session_id", "rule", "note", "evidence")
+
+
+@query("a26_report_limitations", ev_sql(NOTES + """
+, broken AS (SELECT count(*) AS n FROM span s LEFT JOIN sx x USING (session_id, opened_line) WHERE coalesce(x.n, 0) <> coalesce(x.c, 0)),
+gaps AS (SELECT list_sort(list_distinct(list(model))) AS g FROM turns WHERE threshold IS NULL),
+flagged AS (SELECT list_sort(list_distinct(list(model))) AS f FROM lane JOIN sitem USING (session_id, item_id) WHERE lane = 'uncached')
+SELECT 'sub_threshold' AS rule, 'Content too small to cache is charged as fresh input at full rate every turn. That cost is charged to the item as carry cost and shown in its sub-threshold lane; the split between the two carry lanes is by token-turns, not separately measured.' AS note, CAST(NULL AS VARCHAR) AS evidence
+UNION ALL SELECT 'broken_spans', n || ' residency span(s) include turns whose records support no cache lane, so those spans carry no per-turn lane breakdown rather than a guessed one.', n::VARCHAR FROM broken WHERE n > 0
+UNION ALL SELECT 'threshold_gap', 'The minimum cacheable size is not recorded for ' || array_to_string(g, ', ') || ', so items were not checked for cacheability on ' || CASE WHEN len(g) = 1 THEN 'that model' ELSE 'those models' END || '.', len(g)::VARCHAR FROM gaps WHERE len(g) > 0
+UNION ALL SELECT 'never_cacheable', 'Some items are smaller than the minimum cacheable size on ' || array_to_string(f, ', ') || ', where they are charged at full rate every turn rather than at the cache-read rate.', len(f)::VARCHAR FROM flagged WHERE len(f) > 0""", ranks=True))
+def a26_report(spark, sf):
+    """What is to be told of the report as a whole."""
     m = model(spark, sf)
-    return report.limitations(m.compactions, m.turns.filter("k % 9 < 3").withColumn("version", F.concat(F.lit("2."), (F.col("k") % 3).cast("string"))))
+    facts = notes.report_facts(report.residency_rows(m.spans, m.ledger), m.turns, rollup(m))
+    return notes.told(facts, notes.REPORT_RULES).select("rule", "note", "evidence")
 
 
 @query("a27_counters", ev_sql("""
@@ -417,15 +464,14 @@ def p36(spark, sf):
     return report.row_tags(rollup(model(spark, sf)))
 
 
-@query("a33_uncertainty_notes", ev_sql("""
-, resid AS (SELECT session_id, max(cumulative_tokens - greatest(0, pre_tokens - post_tokens)) AS residual FROM comp GROUP BY 1 HAVING max(cumulative_tokens - greatest(0, pre_tokens - post_tokens)) > 0),
-n AS (SELECT session_id, 'About ' || format('{:,}', residual) || ' tokens left the conversation before a compaction, which leaves no record of what was cleared. That content''s carry cost cannot be attributed to any item.' AS note FROM resid),
-u AS (SELECT note, min(session_id) AS s FROM n GROUP BY 1)
-SELECT CASE WHEN count(*) = 1 THEN arg_min(note, s) ELSE arg_min(note, s) || ' (and ' || (count(*) - 1) || ' more session(s) with the same limitation, differing only in the figures)' END AS note FROM u
+@query("a33_uncertainty_notes", ev_sql(NOTES + """
+, d AS (SELECT note, min(session_id * 100 + place) AS at0 FROM notes GROUP BY 1),
+t AS (SELECT *, regexp_replace(regexp_replace(note, '\\d[\\d,.]*', '#', 'g'), '#(?:[,\\s]+#)+', '#', 'g') AS template FROM d)
+SELECT CASE WHEN count(*) = 1 THEN arg_min(note, at0) ELSE arg_min(note, at0) || ' (and ' || (count(*) - 1) || ' more session(s) with the same limitation, differing only in the figures)' END AS note FROM t GROUP BY t.template
 UNION ALL SELECT 'Shared carry cost is divided by the ''proportional'' policy: Shared carry cost is divided among resident items in proportion to how much space each occupies. A different policy moves per-item figures without changing the total.'"""))
 def a33(spark, sf):
-    m = model(spark, sf)
-    return report.uncertainty_notes(m.compactions, "proportional")
+    """All notes of all sessions, told once where they differ in their figures only."""
+    return notes.uncertainty(session_notes(spark, sf), "proportional")
 
 
 @query("r2_grouping_conservation", ev_sql("""

@@ -44,7 +44,7 @@ Encoded = tuple[str, int, bytes]
 class Codec:
     """Encoder and decoder of one byte-level BPE file."""
 
-    def __init__(self, file: str, memo: int = 400_000) -> None:
+    def __init__(self, file: str, memo: int = 160_000) -> None:
         spec = json.loads(file)
         model, letters = spec["model"], byte_letters()
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer"):
@@ -125,7 +125,7 @@ class Codec:
                 key = token_at[start] << 32 | token
                 ok = known(key)
                 if ok is None:
-                    if len(self.pairs) >= 2_000_000:
+                    if len(self.pairs) >= 500_000:
                         self.pairs.clear()
                     ok = self.pairs[key] = self.fits(token_at[start], token)
                 if not ok:

@@ -46,6 +46,16 @@ def framed(df: DataFrame, **names: str) -> tuple[DataFrame, list[str]]:
     return df.toDF(*own), own
 
 
+#: Rows and bytes of a batch that goes to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of texts, of which some are very long, are kept small, so that a worker's memory is; Spark's own bound is rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

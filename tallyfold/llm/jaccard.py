@@ -43,7 +43,7 @@ def least_overlap(size: int, percent: int) -> int:
 class Shingler:
     """Sorted 64-bit hashes of the distinct shingles of a text."""
 
-    def __init__(self, width: int = 5, memo: int = 400_000) -> None:
+    def __init__(self, width: int = 5, memo: int = 150_000) -> None:
         self.width, self.memo = width, Memo(memo)
 
     def word(self, w: bytes) -> int:

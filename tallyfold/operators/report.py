@@ -214,41 +214,6 @@ def session_facts(turn_rows: DataFrame, item_rows: DataFrame) -> DataFrame:
     )
 
 
-def residual_notes(comps: DataFrame) -> DataFrame:
-    dropped = F.greatest(F.lit(0), F.col("pre_tokens") - F.col("post_tokens"))
-    return (
-        comps.groupBy("session_id").agg(F.max(F.col("cumulative_tokens") - dropped).alias("residual"))
-        .filter("residual > 0")
-        .select(
-            "session_id", F.lit("residual_drop").alias("rule"),
-            F.concat(
-                F.lit("About "), F.format_number(F.col("residual"), 0),
-                F.lit(" tokens left the conversation before a compaction, which leaves no record of what was cleared."
-                      " That content's carry cost cannot be attributed to any item."),
-            ).alias("note"),
-        )
-    )
-
-
-def version_notes(versions: DataFrame) -> DataFrame:
-    return (
-        versions.groupBy("session_id").agg(F.array_sort(F.collect_set("version")).alias("v"))
-        .filter(F.size("v") > 1)
-        .select(
-            "session_id", F.lit("version_span").alias("rule"),
-            F.concat(
-                F.lit("This session spans producing versions "), F.array_join("v", ", "),
-                F.lit("; figures may not be comparable across the boundary."),
-            ).alias("note"),
-        )
-    )
-
-
-def limitations(comps: DataFrame, versions: DataFrame) -> DataFrame:
-    """The conditional notes of each session."""
-    return residual_notes(comps).unionByName(version_notes(versions))
-
-
 def note_template(note):
     """Text with figures and lists of figures replaced by one mark."""
     return F.regexp_replace(F.regexp_replace(note, r"\d[\d,.]*", "#"), r"#(?:[,\s]+#)+", "#")
@@ -267,15 +232,6 @@ def collapse_notes(notes: DataFrame, order: str) -> DataFrame:
     return per.select("template", F.when(F.col("n") == 1, F.col("first")).otherwise(more).alias("note"), "n")
 
 
-def uncertainty_notes(comps: DataFrame, policy: str) -> DataFrame:
-    collapsed = collapse_notes(residual_notes(comps), "session_id").select("note")
-    text = (
-        f"Shared carry cost is divided by the '{policy}' policy: {fixed.POLICY_TEXT[policy]} "
-        "A different policy moves per-item figures without changing the total."
-    )
-    return collapsed.unionByName(comps.agg(F.count(F.lit(1))).select(F.lit(text).alias("note")))
-
-
 def scope(placed: DataFrame) -> DataFrame:
     """Sessions covered, turns covered, and whether any session is still in progress."""
     per = placed.groupBy("session_id").agg(

@@ -100,6 +100,13 @@ def dedup_accounting(rows: DataFrame, key: Sequence[str], order: Sequence[str],
     )
 
 
+def conflicts_by_session(rows: DataFrame, key: Sequence[str], order: Sequence[str], usage: Sequence[str]) -> DataFrame:
+    """session_id, conflicts: exchanges that appear again with other token counts, by the session of their first copy."""
+    folded = rows.groupBy(*key, *usage).agg(F.min(F.struct(*order, "session_id")).alias("at"))
+    per_key = folded.groupBy(*key).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("kinds"))
+    return per_key.groupBy(F.col("at.session_id").alias("session_id")).agg(F.count_if(F.col("kinds") > 1).alias("conflicts"))
+
+
 def parent_links(turn_rows: DataFrame) -> DataFrame:
     known = turn_rows.select("session_id", F.col("uuid").alias("parent_uuid"))
     claimed = F.when(F.col("claimed") != F.col("uuid"), F.col("claimed"))

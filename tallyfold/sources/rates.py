@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import tomllib
-from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import Decimal
 from fractions import Fraction
 from hashlib import sha256
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions import fixed
 from tallyfold.plans.sizing import bounded_broadcast
+from tallyfold.store import files
 
 RATE_SCHEMA = "model string, input_rate bigint, output_rate bigint, threshold bigint"
 
@@ -58,56 +57,74 @@ def _micros(usd: object) -> int:
     return int((Decimal(str(usd)) * 1_000_000).to_integral_value())
 
 
-def load_toml(path: str | Path, origin: str = "explicit") -> RateTable:
-    """Read a rate registry; a missing required key or an empty model list is an error."""
-    raw = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+#: Where a table comes from, the first that is there wins.
+EXPLICIT, REFRESHED, BUNDLED = "explicit", "refreshed", "bundled"
+
+
+def table_of(text: str, name: str, origin: str = EXPLICIT) -> RateTable:
+    """A rate registry from its TOML text; a missing required key or an empty model list is an error that names the file."""
+    raw = tomllib.loads(text)
     for key in ("schema_version", "cache", "models"):
         if key not in raw:
-            raise ValueError(f"{path}: required key {key!r} is missing")
+            raise ValueError(f"{name}: required key {key!r} is missing")
     if not raw["models"]:
-        raise ValueError(f"{path}: no model is defined")
+        raise ValueError(f"{name}: no model is defined")
     models = []
     for model, entry in sorted(raw["models"].items()):
         for key in ("input_usd_per_mtok", "output_usd_per_mtok"):
             if key not in entry:
-                raise ValueError(f"{path}: model {model!r} lacks {key!r}")
+                raise ValueError(f"{name}: model {model!r} lacks {key!r}")
         floor = entry.get("min_cacheable_tokens")
-        models.append(
-            (
-                model,
-                _micros(entry["input_usd_per_mtok"]),
-                _micros(entry["output_usd_per_mtok"]),
-                None if floor is None else int(floor),
-            )
-        )
+        models.append((model, _micros(entry["input_usd_per_mtok"]), _micros(entry["output_usd_per_mtok"]), None if floor is None else int(floor)))
     cache = raw["cache"]
-    return RateTable(
-        models=tuple(models),
-        cache=CacheMultipliers(
-            read=_micros(cache["read_multiplier"]),
-            write_5m=_micros(cache["write_multiplier_5m"]),
-            write_1h=_micros(cache["write_multiplier_1h"]),
-            unknown=_micros(cache["unknown_ttl_multiplier"]),
-            unknown_confidence=str(cache["unknown_ttl_confidence"]),
-        ),
-        origin=origin,
-        priced_on=str(raw.get("priced_on", "unknown")),
-    )
+    multipliers = {
+        "read": "read_multiplier", "write_5m": "write_multiplier_5m", "write_1h": "write_multiplier_1h", "unknown": "unknown_ttl_multiplier",
+        "unknown_confidence": "unknown_ttl_confidence",
+    }
+    for key in multipliers.values():
+        if key not in cache:
+            raise ValueError(f"{name}: required key {key!r} is missing")
+    parts = {part: str(cache[key]) if part == "unknown_confidence" else _micros(cache[key]) for part, key in multipliers.items()}
+    return RateTable(models=tuple(models), cache=CacheMultipliers(**parts), origin=origin, priced_on=str(raw.get("priced_on", "unknown")))
+
+
+def text_of(table: RateTable) -> str:
+    """The TOML text of a table: what a refresh writes and ``table_of`` reads."""
+
+    def usd(micros: int) -> str:
+        return format(Decimal(micros) / 1_000_000, "f")
+
+    c = table.cache
+    lines = ["schema_version = 1", f'priced_on = "{table.priced_on}"', "", "[cache]", f"read_multiplier = {usd(c.read)}", f"write_multiplier_5m = {usd(c.write_5m)}"]
+    lines += [f"write_multiplier_1h = {usd(c.write_1h)}", f"unknown_ttl_multiplier = {usd(c.unknown)}", f'unknown_ttl_confidence = "{c.unknown_confidence}"']
+    for model, input_rate, output_rate, floor in table.models:
+        lines += ["", f'[models."{model}"]', f"input_usd_per_mtok = {usd(input_rate)}", f"output_usd_per_mtok = {usd(output_rate)}"]
+        lines += [] if floor is None else [f"min_cacheable_tokens = {floor}"]
+    return "\n".join(lines) + "\n"
+
+
+def load(spark: SparkSession, path: str, origin: str = EXPLICIT) -> RateTable:
+    """A table from a file, which may lie wherever Spark can read."""
+    return table_of(files.read_text(spark, path), path, origin)
+
+
+def layers(spark: SparkSession, bundled: str, refreshed: str | None = None, explicit: str | None = None) -> list[RateTable]:
+    """The tables that are there, the one to be used first. An explicit table that is not there is an error, a refreshed one is optional."""
+    found = [load(spark, explicit, EXPLICIT)] if explicit is not None else []
+    if refreshed is not None and files.exists(spark, refreshed):
+        found.append(load(spark, refreshed, REFRESHED))
+    return [*found, load(spark, bundled, BUNDLED)]
+
+
+def layer_rows(spark: SparkSession, tables: list[RateTable]) -> DataFrame:
+    """layer (from 0), origin, priced_on, model and its rates of every layer, and whether the row is in use: layers are never mixed."""
+    rows = [(k, t.origin, t.priced_on, *m, k == 0) for k, t in enumerate(tables) for m in t.models]
+    return spark.createDataFrame(rows, f"layer bigint, origin string, priced_on string, {RATE_SCHEMA}, in_use boolean")
 
 
-def layered(tables: Iterable[tuple[int, RateTable]], spark: SparkSession) -> DataFrame:
-    """The winning layer's rows (smallest priority number), each with its origin and date."""
-    frames = [
-        t.frame(spark).withColumns(
-            {"priority": F.lit(p), "origin": F.lit(t.origin), "priced_on": F.lit(t.priced_on)}
-        )
-        for p, t in tables
-    ]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    best = out.agg(F.min("priority").alias("priority"))
-    return out.join(F.broadcast(best), "priority", "left_semi")
+def with_provenance(figures: DataFrame, table: RateTable) -> DataFrame:
+    """Figures with the origin, date and fingerprint of the table that priced them."""
+    return figures.withColumns({"origin": F.lit(table.origin), "priced_on": F.lit(table.priced_on), "rate_print": F.lit(table.fingerprint)})
 
 
 def model_candidates(model):

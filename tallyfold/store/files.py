@@ -18,6 +18,11 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in system.listStatus(where))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _at(spark, path)
+    return system.exists(where)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     system, where = _at(spark, path)
     stream = system.open(where)
