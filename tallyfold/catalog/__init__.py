@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ev_core", "ev_model", "ev_report", "li", "pg", "doc", "cv", "logs", "rates", "feed", "stored", "results", "live")
+MODULES = ("ev_core", "ev_model", "ev_report", "li", "pg", "doc", "cv", "logs", "folders", "rates", "feed", "stored", "results", "live")
 
 
 def load():

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.session import shared_dir
 from tallyfold.sources import events, logs
+from tallyfold.store import files
 
 _trees: dict[tuple, str] = {}
 
@@ -77,7 +78,7 @@ def write_tree(spark: SparkSession, sf_dir: str) -> str:
     A session's lines may spread over several part files in line order (range partitioning), so
     that one very long session is not one task's work.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, files.stamp(spark, f"{sf_dir}/events.parquet"), sf_dir)
     if key not in _trees:
         root = f"{shared_dir(spark)}/logs-{spark.sparkContext.applicationId}-{len(_trees)}"
         (

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfold.catalog import derived
 from tallyfold.catalog.ev_sql import ev_sql
 from tallyfold.catalog.registry import query
 from tallyfold.operators import anchors, ledger, sizing
-from tallyfold.sources import derived, events, logs
+from tallyfold.sources import events, logs
 
 # DuckDB side: the same facts straight from the event columns, never through JSON text.
 FX = """

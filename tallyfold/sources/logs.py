@@ -13,7 +13,7 @@ from tallyfold.operators import changes as ch
 from tallyfold.operators import sizing as sz
 from tallyfold.operators import turns as tn
 from tallyfold.operators.sizing import first_string, is_array, is_object, strict_int, vstr, vtype
-from tallyfold.session import cut
+from tallyfold.session import cut, stored
 
 # --- scan -----------------------------------------------------------------------------------
 
@@ -40,7 +40,8 @@ def number_lines(scanned: DataFrame, log: Column) -> DataFrame:
     their task, so only the number of lines per split is aggregated and summed up; the lines
     themselves are never sorted or gathered, whatever the size of a file.
     """
-    keyed = scanned.withColumn("log", log)
+    # Both sides below must see the same split of the files, so the scan is written once.
+    keyed = stored(scanned.withColumn("log", log), "scan")
     before = W.partitionBy("log").orderBy("path", "block").rowsBetween(W.unboundedPreceding, -1)
     splits = (
         keyed.groupBy("log", "path", "block")
@@ -54,14 +55,6 @@ def number_lines(scanned: DataFrame, log: Column) -> DataFrame:
     )
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """The main logs of a projects tree, numbered per file."""
-    lines = number_lines(scan_lines(spark, f"{root}/projects/*/*.jsonl"), F.col("path"))
-    return lines.withColumns(
-        {"project_dir": F.regexp_extract("path", LAYOUT, 1), "stem": F.regexp_extract("path", LAYOUT, 2)}
-    )
-
-
 # --- routing --------------------------------------------------------------------------------
 
 
