@@ -209,6 +209,18 @@ def j12(spark, sf):
     return tn.zip_boundaries(model(spark, sf).compactions).select("session_id", "comp_index", "line", *long("boundary_turn"), "uuid")
 
 
+@query("j12_zip_of_two_sources", ev_sql("""
+SELECT session_id, comp_index + 1 AS place, uuid AS event_id, boundary_turn FROM comp"""))
+def j12_sources(spark, sf):
+    """The k-th error event of a session, from the table itself, beside its k-th boundary, from the scanned log."""
+    m = model(spark, sf)
+    raw = events.raw_events(spark, sf).where("event_type = 'error'").select(F.col("user_id").alias("session_id"), "ts", "event_id")
+    raw = raw.join(m.turns.select("session_id").distinct(), "session_id", "left_semi")
+    bounds = m.compactions.select("session_id", "line", "boundary_turn")
+    both = tn.zipped(raw, bounds, "session_id", [F.col("ts"), F.col("event_id")], [F.col("line")], "compaction records and boundaries differ in number")
+    return both.select("session_id", "place", "event_id", *long("boundary_turn"))
+
+
 @query("u1_event_union", ev_sql("""
 SELECT session_id, line, kind FROM (
 SELECT session_id, line, 'injection' AS kind FROM inj UNION ALL SELECT session_id, line, 'compaction' FROM comp)"""))

@@ -316,6 +316,18 @@ def m16(spark, sf):
     return traces.figure_traces(m.attributions, m.turns, "carry:file:/repo/d1/")
 
 
+ONE = "carry:file:/repo/d1/f1.md"
+
+
+@query("m16_source_records", ev_sql(f"""
+, fig AS (SELECT a.*, t.uuid || '@line' || t.line AS turn_ref FROM att a JOIN (SELECT session_id, turn_index, uuid, line FROM turns) t USING (session_id, turn_index)
+ WHERE component || ':' || coalesce(target_id, 'session') = '{ONE}')
+SELECT '{ONE}' AS figure_id, ref, count(*) AS facts FROM (SELECT item_ref AS ref FROM fig WHERE item_ref IS NOT NULL UNION ALL SELECT turn_ref FROM fig) GROUP BY ref"""))
+def m16_refs(spark, sf):
+    """The records behind one figure, which is named by its id."""
+    return traces.source_refs(traces.one_figure(model(spark, sf).attributions, ONE))
+
+
 @query("m17_total_trace", ev_sql("""
 SELECT CAST(sum(fresh_micros) AS BIGINT) AS fresh_input, CAST(sum(write_micros) AS BIGINT) AS cache_write, CAST(sum(read_micros) AS BIGINT) AS cache_read,
 CAST(sum(output_micros) AS BIGINT) AS output, CAST(sum(total_micros) AS BIGINT) AS total,

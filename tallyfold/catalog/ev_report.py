@@ -248,6 +248,16 @@ def w8(spark, sf):
     return ro.session_turns(model(spark, sf).turns)
 
 
+@query("w5_curve_over_all_turns", ev_sql("""
+SELECT session_id, turn_index, CAST(sum(total_micros) OVER (ORDER BY session_id, turn_index) AS BIGINT) AS running_micros,
+ CAST(CAST(sum(total_micros) OVER (ORDER BY session_id, turn_index) AS BIGINT) AS DOUBLE) / (SELECT total FROM tot) AS running_share,
+ (session_id, turn_index) IN (SELECT (session_id, boundary_turn) FROM comp) AS compacted FROM turns"""))
+def w5_whole(spark, sf):
+    """One curve over all sessions; its last point is the total."""
+    m = model(spark, sf)
+    return report.whole_curve(m.turns, lg.boundary_marks(m.compactions), lg.reconcile(m.turns, m.attributions))
+
+
 @query("w5_cumulative_cost_curve", ev_sql("""
 SELECT session_id, turn_index, CAST(sum(total_micros) OVER (PARTITION BY session_id ORDER BY turn_index) AS BIGINT) AS running_micros,
  CAST(sum(total_micros) OVER (PARTITION BY session_id ORDER BY turn_index) AS DOUBLE) / nullif(sum(total_micros) OVER (PARTITION BY session_id), 0) AS running_share,
@@ -441,6 +451,16 @@ def k4(spark, sf):
     return report.priced_points(rollup(model(spark, sf))).select("item_id", *long("total_micros", "omitted"))
 
 
+def _ranking(sort: str, column: str) -> None:
+    @query(f"k1_ranking_by_{sort}", ev_sql(f"SELECT item_id, {column}, row_number() OVER (ORDER BY {column} DESC, item_id) AS place FROM roll", ranks=True))
+    def k1_by(spark, sf):
+        return report.places(rollup(model(spark, sf)), sort).select("item_id", *long(column), "place")
+
+
+for _sort in ("carry", "direct", "reads", "share"):
+    _ranking(_sort, report.SORT_COLUMNS[_sort])
+
+
 @query("k5_rank_disagreement", ev_sql("""
 , a AS (SELECT item_id FROM roll ORDER BY total_micros DESC, item_id LIMIT 5), b AS (SELECT item_id FROM roll ORDER BY reads DESC, item_id LIMIT 5)
 SELECT count(*) AS shared, 5 - count(*) AS differing FROM a JOIN b USING (item_id)""", ranks=True))

@@ -118,6 +118,22 @@ def cost_curve(turn_rows: DataFrame, boundaries: DataFrame) -> DataFrame:
     )
 
 
+def whole_curve(turn_rows: DataFrame, boundaries: DataFrame, results: DataFrame) -> DataFrame:
+    """Running cost over the turns of all sessions, in the order of their ids; it must end at the total that the results give.
+
+    ``results`` has total_micros; turns that do not add up to it are an error.
+    """
+    numbered = turn_rows.select(*res.SESSION_TURN, F.struct(*res.SESSION_TURN).alias("at"), "total_micros")
+    run = grouped.running_offsets(numbered, "at", "total_micros", "before")
+    charged = turn_rows.agg(F.sum("total_micros").alias("t")).scalar()
+    total = results.agg(F.sum("total_micros").alias("t")).scalar()
+    refuse = F.raise_error(F.lit("the turns do not add up to the total of the results")).cast("bigint")
+    running = F.when(charged.eqNullSafe(total), F.col("before") + F.col("total_micros")).otherwise(refuse)
+    return run.join(boundaries.select(*res.SESSION_TURN, F.lit(True).alias("hit")), res.SESSION_TURN, "left").select(
+        *res.SESSION_TURN, running.alias("running_micros"), money.share_of(running, total).alias("running_share"), F.coalesce("hit", F.lit(False)).alias("compacted")
+    )
+
+
 def span_lanes(span_rows: DataFrame, book: DataFrame) -> DataFrame:
     """(span, turn, lane): the ledger's resident rows carry the opening line of their span."""
     return book.filter("row = 'res'").select("session_id", "turn_index", "item_id", F.col("pos").alias("opened_line"), "lane")

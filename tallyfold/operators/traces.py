@@ -50,6 +50,27 @@ def figure_traces(facts: DataFrame, turn_rows: DataFrame, wanted: str) -> DataFr
     )
 
 
+def one_figure(facts: DataFrame, wanted: str) -> DataFrame:
+    """The facts of the one figure that is meant: exactly this id, else the only one that holds the text.
+
+    None, or several, is an error that names some of them.
+    """
+    held = facts.withColumn("figure_id", figure_id()).filter(F.contains("figure_id", F.lit(wanted)))
+    ids = held.groupBy("figure_id").agg(F.count(F.lit(1)).alias("n"))
+    names = ids.orderBy("figure_id").limit(TURNS_SHOWN).agg(F.array_join(F.array_sort(F.collect_list("figure_id")), ", ").alias("v"))
+    counts = ids.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("figure_id") == wanted).alias("exact"))
+    n, exact = counts.select("n").scalar(), counts.select("exact").scalar()
+    several = F.concat(F.lit(f"{wanted!r} matches "), n.cast("string"), F.lit(" figures: "), names.scalar())
+    means = F.when(exact > 0, F.col("figure_id") == wanted).when(n > 1, F.raise_error(several).cast("boolean")).otherwise(F.lit(True))
+    return held.filter(means)
+
+
+def source_refs(figure: DataFrame) -> DataFrame:
+    """figure_id, ref, facts: the distinct records behind a figure, each with the number of its facts that rest on it."""
+    refs = F.explode(F.array_compact(F.array("item_ref", "turn_ref"))).alias("ref")
+    return figure.select("figure_id", refs).groupBy("figure_id", "ref").agg(F.count(F.lit(1)).alias("facts"))
+
+
 def total_trace(turn_rows: DataFrame, facts: DataFrame) -> DataFrame:
     """Charges by component, and the part of the writes no item or change explains."""
     direct = facts.agg(F.sum(F.when(F.col("component") == "direct", F.col("cost_micros")).otherwise(0)).alias("d"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.plans import grouped
 from tallyfold.sources.rates import CacheMultipliers
 
 
@@ -127,6 +128,19 @@ def zip_boundaries(comps: DataFrame) -> DataFrame:
     return both.withColumn("boundary_turn", F.when(missing, refuse).otherwise(F.col("boundary_turn")))
 
 
+def zipped(left: DataFrame, right: DataFrame, key: str, left_order: Sequence[Column], right_order: Sequence[Column], refuse: str) -> DataFrame:
+    """The k-th row of ``left`` beside the k-th of ``right`` within each key, from two sources; different numbers are an error.
+
+    Orders must be total. Columns but the key must differ in name.
+    """
+    a = grouped.spread_rank(left, [key], left_order, "place")
+    b = grouped.spread_rank(right, [key], right_order, "place")
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), [key, "place"], "full_outer")
+    odd = F.col("_a").isNull() | F.col("_b").isNull()
+    message = F.concat(F.lit(f"{refuse}: {key} "), F.col(key).cast("string"), F.lit(" at "), F.col("place").cast("string"))
+    return both.withColumn("place", F.when(odd, F.raise_error(message).cast("bigint")).otherwise(F.col("place"))).drop("_a", "_b")
+
+
 def exclude(sessions: DataFrame, excluded: DataFrame) -> DataFrame:
     return sessions.join(excluded, "session_id", "left_anti")
 

@@ -74,7 +74,7 @@ def test_listing_of_a_tree(spark, tmp_path):
     p = f"{tmp_path}/projects"
     put(f"{p}/-repo-a/s1.jsonl", ['{"type":"user","uuid":"u1"}', "", '{"type":"ai-title","aiTitle":"  A   name "}', "{broken", "[1]", '{"uuid":"u2"}', '{"type":"custom-title","customTitle":"Own né"}', '{"uuid":""}'], 1000)
     put(f"{p}/-repo-a/s1/subagents/a.jsonl", ['{"uuid":"x"}', '{"type":"ai-title","aiTitle":"Not this"}'], 5000)
-    put(f"{p}/-repo-a/s1/subagents/b.jsonl", [], 400)
+    put(f"{p}/-repo-a/s1/subagents/b.jsonl", [""], 400)
     put(f"{p}/-repo-a/s1/notes/c.jsonl", ['{"uuid":"x"}'], 9000)
     put(f"{p}/-repo-b/s2.jsonl", ['{"type":"user"}'] * 3, 5000)
     put(f"{p}/-repo-b/s3.jsonl", [""], 200)
