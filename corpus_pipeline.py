@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import bpe, jaccard, secrets, toxicity, wu_manber
-from tallyfold.llm.common import framed, fresh_path, saved, table
+from tallyfold.llm.common import bounded_batches, framed, fresh_path, saved, table
 
 #: No stage but the last can be said in SQL; tests hold them against plain versions.
 ORACLE_SQL = None
@@ -23,8 +23,8 @@ def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
 
 
 def _kept(docs: DataFrame, rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
-    """Rows whose number is not in ``gone``, as they came."""
-    return rows.join(gone.select("doc_id"), "doc_id", "left_anti").select(*names).toDF(*docs.columns)
+    """Rows whose number is not in ``gone``, as they came. The numbers are hashed, so that no text is sorted."""
+    return rows.join(gone.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model is learned from labelled documents outside the held-out fold.
     """
+    bounded_batches(spark)
     labels = table(spark, sf_dir, "labels")
     settings = toxicity.Settings()
     known = labels.where(toxicity.fold() != toxicity.HELD_OUT)
@@ -42,6 +43,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays: the one with the smallest id (of equal ids, one row)."""
+    bounded_batches(spark)
     rows, names = _numbered(docs, "pipeline-near-copies")
     found = jaccard.near_copies(rows)
     own = rows.select("doc_id", "own_id").join(found, "doc_id")
@@ -52,6 +54,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule accuses go; a text is judged beside its row, null text stays."""
+    bounded_batches(spark)
     rows, names = framed(docs, text="text")
     return wu_manber.clean(rows, table(spark, sf_dir, "benchmark")).toDF(*docs.columns)
 
@@ -63,6 +66,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document and the digest of the text they decode to."""
+    bounded_batches(spark)
     ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return ids.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
