@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import bitslice, bpe, jaccard, nn_descent, quotes, repair, reshard, secrets, tiles, toxicity, unigram, warc, wu_manber
+from tallyfold.llm import oracles as oracles_sql
 from tallyfold.llm.common import table
 
 SHARDS = 24
@@ -98,7 +99,12 @@ QUERIES: dict[str, Query] = {
     "op13_repair": op13_repair,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": oracles_sql.CONTAMINATION,
+    "op6_near_copies": oracles_sql.NEAR_COPIES,
+    "op11_near_vectors": oracles_sql.NEAR_VECTORS,
+    "op13_repair": oracles_sql.REPAIR,
+}
 
 
 def registered() -> dict[str, Query]:
