@@ -195,6 +195,10 @@ def normalise_file(source_uri: str, target_uri: str) -> list[tuple[int, int, str
     return index
 
 
+#: Bytes of an archive that one task reads, and tasks of a stage at most.
+STRETCH, MOST_TASKS = 8 << 20, 100_000
+
+
 def normalise(manifest: DataFrame, source: str, target: str) -> DataFrame:
     """Normalises the manifest's archives, one task each; the index as a table: file, offset, length, record_id."""
 
@@ -207,7 +211,8 @@ def normalise(manifest: DataFrame, source: str, target: str) -> DataFrame:
                 rows = normalise_file(f"{source}/{file}", f"{target}/{new}")
                 yield pd.DataFrame([(new, *r) for r in rows], columns=["file", "offset", "length", "record_id"])
 
-    files = manifest.select("file").repartition(F.col("file"))
+    # A row stands for a whole archive: as many tasks as archives, however few bytes the rows have.
+    files = manifest.select("file").repartition(max(1, min(manifest.count(), MOST_TASKS)))
     return saved(files.mapInPandas(run, "file string, offset long, length long, record_id string"), "warc-index")
 
 
@@ -257,8 +262,10 @@ def read(index: DataFrame, path: str) -> DataFrame:
             file.close()
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    # Stretches of a file are read by different tasks.
-    stretches = index.repartition(F.col("file"), F.expr("offset div 8388608")).sortWithinPartitions("file", "offset")
+    # Stretches of a file are read by different tasks, about one a task.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(size // STRETCH + index.select("file").distinct().count(), MOST_TASKS))
+    stretches = index.repartition(tasks, F.col("file"), F.expr(f"offset div {STRETCH}")).sortWithinPartitions("file", "offset")
     return stretches.mapInPandas(run, schema)
 
 

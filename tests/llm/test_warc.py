@@ -75,5 +75,15 @@ def test_several_members_and_broken_archives(tmp_path):
     raise AssertionError("a cut archive must be refused")
 
 
+def test_archives_are_normalised_by_tasks_of_their_own(spark):
+    path = fresh_path(spark, "test-warc")
+    pages = frame(spark, [(k, "u", "text of a page " * 200 + str(k)) for k in range(60)]).repartition(3)
+    manifest = warc.write(warc.revisits(pages, 0), f"{path}/streams", file_bytes=4096)
+    archives = manifest.count()
+    index = warc.normalise(manifest, f"{path}/streams", f"{path}/records")
+    assert archives > 8 and len(index.inputFiles()) == index.select("file").distinct().count() == archives
+    assert warc.read(index, f"{path}/records").count() == 60
+
+
 def test_no_pages(spark):
     assert warc.archive(frame(spark, [])).count() == 0
