@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,6 +71,20 @@ def p4(spark, sf):
     return tn.unpriceable(model(spark, sf).turns.select("session_id", "model"), events.RATES.frame(spark).filter("model <> 'm-mid'"))
 
 
+@query("p4_sweep_goes_on", ev_sql("""
+SELECT session_id, CASE WHEN count(*) FILTER (model = 'm-mid') = 0 THEN CAST(sum(total_micros) AS BIGINT) END AS total_micros,
+ string_agg(DISTINCT model, ',') FILTER (model = 'm-mid') AS unpriced_models FROM turns GROUP BY session_id"""))
+def p4_sweep(spark, sf):
+    """Cost of every session by a table that lacks a model: sessions with such turns are named and have no cost, the others are priced."""
+    few = replace(events.RATES, models=tuple(m for m in events.RATES.models if m[0] != "m-mid"))
+    turns = model(spark, sf).turns.drop("input_rate", "output_rate", "threshold")
+    skipped = tn.unpriceable(turns.select("session_id", "model"), few.frame(spark))
+    paid = lg.priced(turns.join(skipped.select("session_id"), "session_id", "left_anti"), few)
+    totals = paid.groupBy("session_id").agg(F.sum("total_micros").alias("total_micros"))
+    none = F.lit(None)
+    return totals.withColumn("unpriced_models", none.cast("string")).unionByName(skipped.select("session_id", none.cast("bigint").alias("total_micros"), "unpriced_models"))
+
+
 @query("p13_model_id_normalisation", ev_sql("""
 SELECT 'anthropic/' || model || '-20240101[1m]' AS model, model AS priced_model, count(*) AS turns FROM turns GROUP BY model"""))
 def p13(spark, sf):

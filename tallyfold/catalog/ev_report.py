@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -509,6 +511,39 @@ def r4(spark, sf):
     return report.payload_gates(m, rollup(m))
 
 
+@query("r2_tampered_groupings", ev_sql("""
+, b AS (SELECT CAST(sum(total_micros) AS BIGINT) AS t, CAST(sum(total_micros) FILTER (category = 'docs') AS BIGINT) AS docs, count(DISTINCT regexp_extract(identity, '[.][a-z]+$')) AS exts FROM roll)
+SELECT d AS grouping, t AS before, CASE d WHEN 'ext' THEN t + 7 * exts WHEN 'category' THEN t - docs ELSE t END AS after, d NOT IN ('ext', 'category') AS conserved
+FROM b, (VALUES ('file'), ('folder'), ('ext'), ('category')) v(d)""", ranks=True))
+def r2_tampered(spark, sf):
+    """The same gate on groupings that are wrong: each extension a little too dear, one category left out."""
+    rows = rollup(model(spark, sf))
+    dearer = F.col("total_micros") + F.when(F.col("dimension") == "ext", 7).otherwise(0)
+    both = ro.all_groupings(rows).where("not (dimension = 'category' and group_key = 'docs')").withColumn("total_micros", dearer)
+    return report.grouping_conservation(rows, both)
+
+
+@query("r4_tampered_payload", ev_sql("""
+SELECT gate, CASE gate WHEN 'direct' THEN 5 * (SELECT count(*) FROM roll) WHEN 'turns' THEN (SELECT count(*) FROM nt) ELSE 0 END AS difference
+FROM (VALUES ('components'), ('direct'), ('carry'), ('turns'), ('tree'), ('comparison')) v(gate)""", ranks=True))
+def r4_tampered(spark, sf):
+    """The same gates on a document whose items' direct cost and sessions' first turns are wrong; the other equations hold."""
+    m = model(spark, sf)
+    first = F.when(F.col("turn_index") == 0, 1).otherwise(0)
+    wrong = replace(m, turns=m.turns.withColumn("fresh_micros", F.col("fresh_micros") + first))
+    return report.payload_gates(wrong, rollup(m).withColumn("direct_micros", F.col("direct_micros") + 5))
+
+
+@query("a29_scope_sessions", ev_sql("""
+SELECT CAST(t.session_id AS VARCHAR) AS session_id, substr(CAST(t.session_id AS VARCHAR), 1, 8) AS name, count(*) AS turns,
+ (SELECT max(e.ts) FROM ev e WHERE e.session_id = t.session_id) > (SELECT max(ts) - INTERVAL 5 MINUTE FROM ev) AS provisional,
+ string_agg(DISTINCT '2.' || (t.k % 3), ',' ORDER BY '2.' || (t.k % 3)) AS producing_versions FROM turns t GROUP BY t.session_id"""))
+def a29_sessions(spark, sf):
+    """The sessions that a report covers, a row each: name, turns, versions, and whether it may still grow."""
+    m = model(spark, sf)
+    return report.scope_sessions(m.placed, m.turns.withColumn("version", F.concat(F.lit("2."), (F.col("k") % 3).cast("string"))))
+
+
 @query("s18_report_payload", ev_sql("""
 SELECT s AS section, n AS rows FROM (
 SELECT 'components' AS s, CAST(4 AS BIGINT) AS n UNION ALL SELECT 'attribution', 4 UNION ALL SELECT 'items', (SELECT count(*) FROM roll) UNION ALL SELECT 'invalidations', (SELECT count(*) FROM event)

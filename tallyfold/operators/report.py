@@ -262,6 +262,15 @@ def scope(placed: DataFrame) -> DataFrame:
     )
 
 
+def scope_sessions(placed: DataFrame, turns: DataFrame) -> DataFrame:
+    """session_id, name, turns, provisional, producing_versions of every session with turns; ``turns`` has version."""
+    last = placed.groupBy("session_id").agg(F.max("ts").alias("last_ts"))
+    live = F.col("last_ts") > (placed.agg(F.max("ts")).scalar() - F.expr(f"INTERVAL {fixed.IN_PROGRESS_MINUTES} MINUTES"))
+    per = turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.array_sort(F.collect_set("version")), ",").alias("producing_versions"))
+    name = F.col("session_id").cast("string")
+    return per.join(last, "session_id").select(name.alias("session_id"), F.substring(name, 1, 8).alias("name"), "turns", live.alias("provisional"), "producing_versions")
+
+
 def item_details(rollup: DataFrame, turn_rows: DataFrame) -> DataFrame:
     total = turn_rows.agg(F.sum("total_micros").alias("t"))
     band = ro.uncertainty(F.col("total_micros"), F.col("direct_micros"), F.col("carry_micros"), F.col("basis_rank"))
