@@ -44,7 +44,7 @@ Encoded = tuple[str, int, bytes]
 class Codec:
     """Encoder and decoder of one byte-level BPE file."""
 
-    def __init__(self, file: str, memo: int = 160_000) -> None:
+    def __init__(self, file: str, memo: int = 280_000) -> None:
         spec = json.loads(file)
         model, letters = spec["model"], byte_letters()
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer"):
