@@ -148,8 +148,8 @@ class Lexicon:
         if not new:
             return False
         bad = [w for w in new if self.look_up(w)]
-        # Both bounds hold its bytes below some 40 MB; a long word is looked up each time, which is quick.
-        if len(self.innocent) > 300_000:
+        # Both bounds hold its bytes below some 15 MB; a long word is looked up each time, which is quick.
+        if len(self.innocent) > 100_000:
             self.innocent.clear()
         self.innocent.update(w for w in new.difference(bad) if len(w) <= 32)
         return bool(bad)

@@ -175,6 +175,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
+def _marks(texts: pd.Series, hits: pd.Series, tables: WuManber) -> list[bytearray]:
+    """The hits of each text after one pass, from those before."""
+    out = []
+    for t, before in zip(texts, hits, strict=True):
+        own = words(t)
+        hit = bytearray(before) if before is not None else bytearray(len(own))
+        tables.search(own, hit)
+        out.append(hit)
+    return out
+
+
 def _searcher(sent: Broadcast, block: int) -> Callable[..., Column]:
     """hits of a text after one pass, from the text and its hits before."""
 
@@ -182,20 +193,21 @@ def _searcher(sent: Broadcast, block: int) -> Callable[..., Column]:
     def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         tables = WuManber(sent.value, block)
         for texts, hits in batches:
-            out = []
-            for t, before in zip(texts, hits, strict=True):
-                own = words(t)
-                hit = bytearray(before) if before is not None else bytearray(len(own))
-                tables.search(own, hit)
-                out.append(bytes(hit))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([bytes(h) for h in _marks(texts, hits, tables)], dtype=object)
 
     return search
 
 
-@F.pandas_udf(T.BooleanType())
-def _accused(hits: pd.Series) -> pd.Series:
-    return pd.Series([h.count(1) > 0 and 20 * h.count(1) >= len(h) for h in hits], dtype=bool)
+def _judge(sent: Broadcast, block: int) -> Callable[..., Column]:
+    """Whether the rule accuses a text after the last pass; one Python worker a task does both."""
+
+    @F.pandas_udf("boolean")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tables = WuManber(sent.value, block)
+        for texts, hits in batches:
+            yield pd.Series([h.count(1) > 0 and 20 * h.count(1) >= len(h) for h in _marks(texts, hits, tables)], dtype=bool)
+
+    return judge
 
 
 def clean(rows: DataFrame, benchmark: DataFrame, *, text: str = "text", width: int = 13, block: int = 2, pass_bytes: int = 16 << 20) -> DataFrame:
@@ -206,8 +218,8 @@ def clean(rows: DataFrame, benchmark: DataFrame, *, text: str = "text", width: i
     items, passes = _items(benchmark, pass_bytes)
     marked = rows.withColumn("_hits", F.lit(None).cast("binary"))
     for k in range(passes):
-        search = _searcher(rows.sparkSession.sparkContext.broadcast(_patterns(items, k, passes, width)), block)
-        marked = marked.withColumn("_hits", search(F.col(text).cast("binary"), F.col("_hits")))
-        if k < passes - 1:
-            marked = saved(marked, "decontamination")
-    return marked.where(~_accused("_hits")).drop("_hits")
+        sent = rows.sparkSession.sparkContext.broadcast(_patterns(items, k, passes, width))
+        given = (F.col(text).cast("binary"), F.col("_hits"))
+        if k == passes - 1:
+            return marked.where(~_judge(sent, block)(*given)).drop("_hits")
+        marked = saved(marked.withColumn("_hits", _searcher(sent, block)(*given)), "decontamination")

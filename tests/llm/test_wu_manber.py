@@ -60,3 +60,14 @@ def test_empty_tables(spark):
     got = wu_manber.contamination(docs(spark, [(1, "one two")]), bench).collect()
     assert [(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in got] == [(1, 2, 0, False)]
     assert wu_manber.contamination(docs(spark, []), bench).count() == 0
+
+
+def test_clean_rows_keep_their_columns_whatever_the_passes(spark):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(9)]
+    texts = [(0, "nothing here"), (1, items[3][1]), (2, "a " * 400 + items[4][1]), (3, None), (4, ""), (None, items[8][1]), (5, items[0][1] + " and " + items[7][1])]
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in texts], "doc_id long, text string, other string")
+    marks = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 200):
+        got = wu_manber.clean(rows, marks, pass_bytes=size)
+        assert got.columns == rows.columns and sorted(tuple(r) for r in got.collect() if r.doc_id is not None) == [(0, "nothing here", "kept"), (2, texts[2][1], "kept"), (3, None, "kept"), (4, "", "kept")]
+        assert got.where("doc_id is null").count() == 0
