@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions import fixed
 from tallyfold.functions.money import cost_micros
 from tallyfold.operators import residency as res
-from tallyfold.plans import grouped
+from tallyfold.plans import grouped, sizing
 from tallyfold.session import stored
 from tallyfold.sources.rates import RateTable
 
@@ -175,7 +175,9 @@ def build(
     turn_rows = priced(res.turns(placed), rates)
     changes = prefix_changes(placed)
     marks = change_marks(changes)
-    book = ledger(turn_rows, inj, res.resident(span_rows), marks, policy)
+    # The row count of what was written comes from the files' footers.
+    parts = sizing.ledger_parts(placed.count()) if keep else None
+    book = ledger(turn_rows, inj, res.resident(span_rows), marks, policy, parts)
     return Model(placed, turn_rows, inj, comps, item_rows, span_rows, changes, marks, book, keep)
 
 
@@ -187,9 +189,12 @@ TURN_FACTS = [
 
 
 def ledger(
-    turn_rows: DataFrame, inj: DataFrame, resident: DataFrame, marks: DataFrame, policy: str
+    turn_rows: DataFrame, inj: DataFrame, resident: DataFrame, marks: DataFrame, policy: str, parts: int | None = None
 ) -> DataFrame:
-    """One row per turn, injection and resident item, with lanes, pools and shares filled in."""
+    """One row per turn, injection and resident item, with lanes, pools and shares filled in.
+
+    ``parts`` is the number of tasks that the turns are dealt to; without it the number is left to Spark.
+    """
     facts = turn_rows.join(marks, KEY, "left")
     stacked = (
         facts.select(*KEY, F.lit("turn").alias("row"), F.struct(*TURN_FACTS).alias("t"))
@@ -208,20 +213,23 @@ def ledger(
             allowMissingColumns=True,
         )
     )
+    if parts:
+        stacked = stacked.repartition(parts, *KEY)
     is_inj, is_res = F.col("row") == "inj", F.col("row") == "res"
     size = F.col("size_tokens")
     zero = F.lit(0).cast("bigint")
-    # 1. what the turn brings, spread to all of its rows
+    # 1. what the turn brings, spread to all of its rows. The finer groups come first: rows sorted by them lie sorted
+    # for the coarser ones, so this and the sums below share one sort, and the rank and the given another.
+    spread = grouped.with_totals(
+        stacked, [*KEY, "item_id"], _injected=F.max(F.when(is_inj, 1).otherwise(0))
+    )
     spread = grouped.with_totals(
-        stacked, KEY,
+        spread, KEY,
         _t=F.first("t", ignorenulls=True),
         arrived_tokens=F.sum(F.when(is_inj, size).otherwise(zero)),
         n_injections=F.count(F.when(is_inj, 1)),
     )
     spread = spread.drop("t").withColumnRenamed("_t", "t")
-    spread = grouped.with_totals(
-        spread, [*KEY, "item_id"], _injected=F.max(F.when(is_inj, 1).otherwise(0))
-    )
     t = F.col("t")
     injected = F.col("_injected") == 1
     changed = t["trigger"].isNotNull()
@@ -313,12 +321,12 @@ def ledger(
     cutp = pooled.withColumns({"_amount": amount, "_total": total}).withColumns(
         {"_floor": F.call_function("div", product, whole), "_rest": (product % whole).cast("bigint")}
     )
-    given = grouped.with_totals(cutp, [*KEY, "pool"], _given=F.sum("_floor"))
     ranked = grouped.with_rank(
-        given, [*KEY, "pool"], [F.col("_rest").desc(), F.col("pos"), F.col("row")], "_rank"
+        cutp, [*KEY, "pool"], [F.col("_rest").desc(), F.col("pos"), F.col("row")], "_rank"
     )
+    given = grouped.with_totals(ranked, [*KEY, "pool"], _given=F.sum("_floor"))
     share = F.col("_floor") + F.when(F.col("_rank") <= F.col("_amount") - F.col("_given"), 1).otherwise(0)
-    return ranked.withColumn(
+    return given.withColumn(
         "share", F.when(pool.isin("direct", "uncached", "cached"), share.cast("bigint")).otherwise(zero)
     ).drop("_injected", "_amount", "_total", "_floor", "_rest", "_given", "_rank")
 

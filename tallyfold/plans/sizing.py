@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 SEGMENT_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
+#: Log rows whose ledger one task holds while it sorts.
+LEDGER_ROWS = 25_000
 
 SEGMENT_KEY = "tallyfold.segmentRows"
 
@@ -16,6 +18,11 @@ def segment_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(SEGMENT_KEY, str(SEGMENT_ROWS)))
 
 
+def ledger_parts(rows: int) -> int:
+    """Tasks for the ledger of a log of ``rows`` rows; what one of them holds does not grow with the log."""
+    return max(1, -(-rows // LEDGER_ROWS))
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast only when the row count, known to the caller, is small; else leave it to AQE."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

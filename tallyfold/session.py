@@ -46,8 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+#: Shuffled rows here fill 25 times their compressed size and more when a task sorts them; Spark's own 64 MB would be gigabytes.
+TARGET, TARGET_SIZE = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m"
+
+
+def bounded_tasks(spark: SparkSession) -> None:
+    """Has Spark merge shuffle partitions to ``TARGET_SIZE`` only, unless the session names a size."""
+    if spark.conf.get(TARGET, None) is None:
+        spark.conf.set(TARGET, TARGET_SIZE)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from the files, which can be read in part."""
+    bounded_tasks(df.sparkSession)
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
