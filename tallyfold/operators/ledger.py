@@ -124,7 +124,7 @@ def boundary_marks(comps: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """The stages of one attribution run. With ``keep`` the ledger and the facts are written when first used."""
+    """The stages of one attribution run. With ``keep`` the log, items and spans are written, the ledger and the facts when first used."""
 
     placed: DataFrame
     turns: DataFrame
@@ -170,8 +170,12 @@ def build(
     inj = res.injections(placed)
     comps = res.compactions(placed)
     item_rows = res.items(inj)
+    if keep:
+        item_rows = stored(item_rows, "items")
     survivors = survivors_of(inj, comps) if survivors_of else None
     span_rows = res.spans(inj, item_rows, comps, survivors)
+    if keep:
+        span_rows = stored(span_rows, "spans")
     turn_rows = priced(res.turns(placed), rates)
     changes = prefix_changes(placed)
     marks = change_marks(changes)

@@ -7,7 +7,7 @@ signups change the prompt prefix, errors are compactions. Line numbers are posit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions import paths
@@ -25,6 +25,9 @@ RATES = RateTable(
 )
 
 
+TURN = "purchase"
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -37,6 +40,16 @@ def session_log(spark: SparkSession, sf_dir: str, before: str | None = None) ->
     return log_of(events)
 
 
+def model_of(k: Column, session: Column) -> Column:
+    return F.when(k % 10 == 0, "m-mid").when(session % 2 == 0, "m-large").otherwise("m-small")
+
+
+def turn_models(events: DataFrame) -> DataFrame:
+    """session_id and model of every turn; needs no order, so nothing is shuffled."""
+    k, session = F.get_json_object("props", "$.k").cast("bigint"), F.col("user_id")
+    return events.where(F.col("event_type") == TURN).select(session.alias("session_id"), model_of(k, session).alias("model"))
+
+
 def log_of(events: DataFrame) -> DataFrame:
     """Log rows of the sessions that the events belong to, which must be all events of these sessions."""
     lined = scan.number_lines(
@@ -54,7 +67,7 @@ def log_of(events: DataFrame) -> DataFrame:
     )
     k = F.col("k")
     kind = F.col("event_type")
-    turn = kind == "purchase"
+    turn = kind == TURN
     inj = kind.isin("view", "click")
     chg = kind == "signup"
     comp = kind == "error"
@@ -81,10 +94,7 @@ def log_of(events: DataFrame) -> DataFrame:
         inj.alias("is_injection"),
         chg.alias("is_change"),
         comp.alias("is_compaction"),
-        F.when(
-            turn,
-            F.when(k % 10 == 0, "m-mid").when(F.col("session_id") % 2 == 0, "m-large").otherwise("m-small"),
-        ).alias("model"),
+        F.when(turn, model_of(k, F.col("session_id"))).alias("model"),
         of_turn(F.col("event_id") - k).alias("claimed"),
         of_turn(k * 7).alias("input_tokens"),
         of_turn(F.when(k % 2 == 0, k * 11).otherwise(zero)).alias("write_5m"),
