@@ -73,9 +73,10 @@ def routed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Write the derived logs below the shared folder, once per session and input.
+    """Write the derived logs below the shared folder, once per application and input.
 
-    A session's lines may spread over several part files in line order (range partitioning), so
+    A file holds the lines of many sessions, each after its session and a tab, so that there are as many files as tasks and
+    not as sessions. A session's lines may spread over several part files in line order (range partitioning), so
     that one very long session is not one task's work.
     """
     key = (spark.sparkContext.applicationId, files.stamp(spark, f"{sf_dir}/events.parquet"), sf_dir)
@@ -86,8 +87,8 @@ def write_tree(spark: SparkSession, sf_dir: str) -> str:
             .withColumn("project", F.concat(F.lit("p"), (F.col("session_id") % 3).cast("string")))
             .repartitionByRange("project", "session_id", "line")
             .sortWithinPartitions("project", "session_id", "line")
-            .select("project", "session_id", "value")
-            .write.partitionBy("project", "session_id").mode("overwrite").text(f"{root}/projects")
+            .select("project", F.concat_ws("\t", F.col("session_id").cast("string"), "value").alias("value"))
+            .write.partitionBy("project").mode("overwrite").text(f"{root}/projects")
         )
         _trees[key] = root
     return _trees[key]
@@ -96,6 +97,7 @@ def write_tree(spark: SparkSession, sf_dir: str) -> str:
 def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written logs read back as lines numbered per session."""
     root = write_tree(spark, sf_dir)
-    session = F.regexp_extract("path", r"/session_id=(\d+)/", 1).cast("bigint")
-    lines = logs.number_lines(logs.scan_lines(spark, f"{root}/projects/*/*/part-*"), session)
-    return lines.withColumnRenamed("log", "session_id")
+    scanned = logs.scan_lines(spark, f"{root}/projects/*/part-*")
+    session = F.substring_index("value", "\t", 1).cast("bigint")
+    named = scanned.withColumns({"log": session, "value": F.expr("substr(value, instr(value, '\t') + 1)")})
+    return logs.number_lines(named, F.col("log"), shared=True).withColumnRenamed("log", "session_id")

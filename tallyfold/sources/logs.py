@@ -33,9 +33,12 @@ def scan_lines(spark: SparkSession, glob: str | list[str]) -> DataFrame:
     )
 
 
-def number_lines(scanned: DataFrame, log: Column) -> DataFrame:
+def number_lines(scanned: DataFrame, log: Column, shared: bool = False) -> DataFrame:
     """Line numbers from 1 within each log, blank lines counted.
 
+    A file may be ``shared`` by several logs, the lines of each in one stretch; ``file_bytes`` is then the size of the
+    log's own lines in the file.
+
     A log may be one file or several read in path order. Rows of one split are consecutive in
     their task, so only the number of lines per split is aggregated and summed up; the lines
     themselves are never sorted or gathered, whatever the size of a file.
@@ -45,9 +48,14 @@ def number_lines(scanned: DataFrame, log: Column) -> DataFrame:
     before = W.partitionBy("log").orderBy("path", "block").rowsBetween(W.unboundedPreceding, -1)
     splits = (
         keyed.groupBy("log", "path", "block")
-        .agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"))
-        .select("log", "path", "block", "first_mid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+        .agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).alias("size"))
+        .select(
+            "log", "path", "block", "first_mid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"),
+            *([F.sum("size").over(W.partitionBy("log", "path")).alias("file_bytes")] if shared else []),
+        )
     )
+    if shared:
+        keyed = keyed.drop("file_bytes")
     return (
         keyed.join(splits, ["log", "path", "block"], "inner")
         .withColumn("line", (F.col("mid") - F.col("first_mid") + F.col("earlier") + 1).cast("bigint"))
