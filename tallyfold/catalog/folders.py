@@ -62,9 +62,7 @@ def write_tree(spark, sf) -> str:
 
 def listing(spark, sf) -> DataFrame:
     """The listing as of the last change in the tree."""
-    root = write_tree(spark, sf)
-    now = discover.log_files(spark, root).agg(F.max("modified_at")).first()[0]
-    return discover.sessions(spark, root, F.lit(now))
+    return discover.sessions(spark, write_tree(spark, sf))
 
 
 TREE = f"""
