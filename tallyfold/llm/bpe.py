@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Memo, pick, read_vocabulary
+from tallyfold.llm.common import Memo, kept, pick, read_vocabulary
 
 #: The splitting pattern of byte-level BPE files.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,7 +38,8 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-Encoded = tuple[str, int, bytes]
+#: Ids, and the bytes that they decode to where those are not the text's own.
+Encoded = str | tuple[str, bytes]
 
 
 class Codec:
@@ -61,36 +62,34 @@ class Codec:
         self.pieces = regex.compile(PIECES).findall
 
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {(ids[a], ids[b]): r for r, (a, b) in enumerate(merges)}
-        parts = {}
-        for a, b in merges:
-            parts.setdefault(ids[a + b], (ids[a], ids[b]))
+        # The two parts of each token, and the rank at which they are merged: one tuple serves both.
+        self.rank, parts = {}, {}
+        for r, (a, b) in enumerate(merges):
+            pair = (ids[a], ids[b])
+            self.rank[pair] = r
+            parts.setdefault(ids[a + b], pair)
         self.bytes_of = {ids[t]: raw[t] for t in raw} | {i: s.encode() for s, i in self.special.items()}
-        # The edges of a token while it is merged: (token, rank at which it is merged away), outermost last.
-        self.left, self.right = {}, {}
-        for t in sorted(ids.values(), key=lambda i: len(self.bytes_of.get(i, b""))):
-            self.left[t], self.right[t] = self._edge(t, parts, 0), self._edge(t, parts, 1)
+        # The edges of a token while it is merged, flat: token, rank at which it is merged away, ..., outermost last.
+        known = [*ids.values(), *self.special.values()]
+        self.left = {t: self._edge(t, parts, 0) for t in known}
+        self.right = {t: self._edge(t, parts, 1) for t in known}
         self.tokens = ahocorasick.Automaton()
         for t, b in raw.items():
-            if len(b) == 1 or (ids[t] in parts and self._whole(ids[t], parts)):
+            if len(b) == 1 or (ids[t] in parts and self.fits(*parts[ids[t]], own=self.rank[parts[ids[t]]])):
                 self.tokens.add_word(b.decode("latin-1"), (ids[t], len(b)))
         self.tokens.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.words, self.chunks = Memo(memo), Memo(memo)
 
-    def _edge(self, token: int, parts: dict, side: int) -> list[tuple[int, int]]:
+    def _edge(self, token: int, parts: dict, side: int) -> tuple[int, ...]:
         edge, gone = [], NEVER
         while True:
-            edge.append((token, gone))
+            edge += (gone, token)
             if token not in parts:
-                return edge[::-1]
+                return tuple(edge[::-1])
             gone = self.rank[parts[token]]
             token = parts[token][side]
 
-    def _whole(self, token: int, parts: dict) -> bool:
-        """Whether merging the token's own bytes gives the token."""
-        return self.fits(*parts[token], own=self.rank[parts[token]])
-
     def fits(self, a: int, b: int, own: int = NEVER) -> bool:
         """Whether ``a`` and ``b`` stay apart (until rank ``own``) when their bytes are merged together.
 
@@ -100,16 +99,16 @@ class Codec:
         """
         right, left, i, j = self.right[a], self.left[b], 0, 0
         while True:
-            (x, x_gone), (y, y_gone) = right[i], left[j]
-            r = self.rank.get((x, y), NEVER)
+            x_gone, y_gone = right[i + 1], left[j + 1]
+            r = self.rank.get((right[i], left[j]), NEVER)
             if r < x_gone and r <= y_gone and r < own:
                 return False
             if x_gone == y_gone == NEVER:
                 return True
             if x_gone <= y_gone:
-                i += 1
+                i += 2
             else:
-                j += 1
+                j += 2
 
     def piece(self, text: bytes) -> list[int]:
         """Ids of one piece."""
@@ -138,38 +137,52 @@ class Codec:
         return out[::-1]
 
     def chunk(self, text: str) -> Encoded:
-        """Comma-joined ids, their number and the bytes they decode to; kept in the memo."""
-        got = []
-        for p in self.pieces(text):
+        """Comma-joined ids, with the bytes they decode to unless these are the text's own; kept in the memo."""
+        got, pieces = [], self.pieces(text)
+        for p in pieces:
             own = self.words.get(p)
             if own is None:
-                ids = self.piece(p.encode())
-                own = (",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids]))
+                raw = p.encode()
+                ids = self.piece(raw)
+                own, back = ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
+                if back != raw:
+                    own = (own, back)
                 self.words.put(p, own)
             got.append(own)
         if len(got) > 1:
-            own = (",".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got]))
+            if all([type(g) is str for g in got]):
+                own = ",".join(got)
+            else:
+                full = [(g, p.encode()) if type(g) is str else g for g, p in zip(got, pieces, strict=True)]
+                own = (",".join([g[0] for g in full]), b"".join([g[1] for g in full]))
             self.chunks.put(text, own)
         return own
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """Comma-joined ids of a text, their number, and the text that they decode to."""
-        ids, n, back = [], 0, []
+        ids, back, whole = [], [], True
         words, chunks = self.words, self.chunks
         parts = self.split_special.split(text) if self.split_special else [text]
         for k, part in enumerate(parts):
             if k % 2:
-                i = self.special[part]
-                ids.append(str(i))
-                n += 1
-                back.append(self.bytes_of[i])
+                ids.append(str(self.special[part]))
+                back.append(part)
             elif part:
                 for c in self.cut(part):
                     got = words.get(c) or chunks.get(c) or self.chunk(c)
-                    ids.append(got[0])
-                    n += got[1]
-                    back.append(got[2])
-        return ",".join(ids), n, b"".join(back).decode(errors="replace")
+                    if type(got) is str:
+                        ids.append(got)
+                        back.append(c)
+                    else:
+                        whole = False
+                        ids.append(got[0])
+                        back.append(got[1])
+        if whole:
+            decoded = "".join(back)
+        else:
+            decoded = b"".join([b.encode() if type(b) is str else b for b in back]).decode(errors="replace")
+        joined = ",".join(ids)
+        return joined, joined.count(",") + 1 if joined else 0, decoded
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -180,16 +193,9 @@ class Codec:
         return [*([head] if head else []), *(" " + r for r in rest)]
 
 
-_CODECS: dict[tuple[int, int], Codec] = {}
-
-
 def codec(file: str) -> Codec:
-    """The codec of a file's text, kept for the life of the Python worker."""
-    key = (len(file), hash(file))
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(file)
-    return _CODECS[key]
+    """The codec of a file's text, kept in the Python worker until a task of another operator comes."""
+    return kept(("bpe", len(file), hash(file)), lambda: Codec(file))
 
 
 _ENCODED = "doc_id long, n_tokens long, ids string, decoded string"

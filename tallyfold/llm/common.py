@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,23 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
+#: What an operator keeps in this Python worker. Spark gives a worker to the tasks of all operators, one after the other.
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept for later tasks of this Python worker; what was kept under other keys goes."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def cleared() -> None:
+    """Drops what an operator before has kept in this Python worker; tasks that build tables of their own begin with it."""
+    _KEPT.clear()
+
+
 class Memo:
     """A bounded memo of two generations: what was asked for lately stays."""
 

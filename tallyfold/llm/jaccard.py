@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Memo, pick, saved
+from tallyfold.llm.common import Memo, cleared, pick, saved
 
 #: Sets up to so many are sent to all executors as 8-byte keys (64 MB); more are joined by shuffle.
 BROADCAST_KEYS = 4_000_000
@@ -72,6 +72,7 @@ def _hashed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, key (of the row's id and text), n, node, prefix (of the sieve)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cleared()
         shingle = Shingler(width)
         for batch in batches:
             rows = []
@@ -98,6 +99,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """node, n, tokens, parity (a bit for each of 1024 buckets: whether it holds an odd number of tokens) of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cleared()
         shingle = Shingler(width)
         for batch in batches:
             sets = [shingle(t) for t in batch["text"]]

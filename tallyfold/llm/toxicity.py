@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Memo, pick, saved
+from tallyfold.llm.common import Memo, cleared, pick, saved
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile(r"[\"“”«»„‟]")
@@ -230,6 +230,7 @@ def _terms(rows: DataFrame, least: int) -> DataFrame:
     """term, stem, bad, good: documents that hold each word or beginning, by label. Counts are summed per batch first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cleared()
         for batch in batches:
             counts = (Counter(), Counter())
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
@@ -301,6 +302,7 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
     sent = spark.sparkContext.broadcast((lexicon, settings))
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cleared()
         own = Lexicon(*sent.value)
         for batch in batches:
             out = []
@@ -316,6 +318,7 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
     sent_model = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cleared()
         m = sent_model.value
         own = Lexicon(m.lexicon, m.settings, m.exact_only)
         for batch in batches:
@@ -346,6 +349,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cleared()
         m = sent.value
         own = Lexicon(m.lexicon, m.settings, m.exact_only)
         for batch in batches:
@@ -363,6 +367,7 @@ def score_of(model: Model, spark: SparkSession, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cleared()
         m = sent.value
         own = Lexicon(m.lexicon, m.settings, m.exact_only)
         for texts in batches:

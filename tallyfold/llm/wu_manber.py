@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.common import pick, saved
+from tallyfold.llm.common import cleared, pick, saved
 
 #: Bytes that belong to a word after lower-casing A-Z: 0-9, a-z and everything outside ASCII.
 _TABLE = bytes(
@@ -138,6 +138,7 @@ def find_contamination(
         sent = spark.sparkContext.broadcast(_patterns(items, k, passes, width))
 
         def search(batches: Iterator[pd.DataFrame], sent=sent, last=last) -> Iterator[pd.DataFrame]:
+            cleared()
             tables = WuManber(sent.value, block)
             for batch in batches:
                 rows = []
@@ -191,6 +192,7 @@ def _searcher(sent: Broadcast, block: int) -> Callable[..., Column]:
 
     @F.pandas_udf("binary")
     def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        cleared()
         tables = WuManber(sent.value, block)
         for texts, hits in batches:
             yield pd.Series([bytes(h) for h in _marks(texts, hits, tables)], dtype=object)
@@ -203,6 +205,7 @@ def _judge(sent: Broadcast, block: int) -> Callable[..., Column]:
 
     @F.pandas_udf("boolean")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        cleared()
         tables = WuManber(sent.value, block)
         for texts, hits in batches:
             yield pd.Series([h.count(1) > 0 and 20 * h.count(1) >= len(h) for h in _marks(texts, hits, tables)], dtype=bool)
