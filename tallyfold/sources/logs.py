@@ -109,13 +109,18 @@ TOKEN_PATHS = {
 
 def assistant_records(rows: DataFrame) -> DataFrame:
     """Assistant records with their usage and an outcome: turn, ignored or malformed."""
+    return _as_assistant(rows.filter("route = 'assistant'"))
+
+
+def _as_assistant(rows: DataFrame) -> DataFrame:
+    """Every row read as an assistant record."""
     v = F.col("v")
     counts = {name: strict_int(v, path) for name, path in TOKEN_PATHS.items()}
     steps = F.transform(
         F.filter(_items(v, "$.message.usage.iterations"), lambda e: vtype(e).startswith("OBJECT")),
         lambda e: strict_int(e, "$.output_tokens"),
     )
-    staged = rows.filter("route = 'assistant'").withColumns(
+    staged = rows.withColumns(
         {
             "has_usage": is_object(v, "$.message") & is_object(v, "$.message.usage"),
             "model": F.coalesce(vstr(v, "$.message.model"), vstr(v, "$.model")),
@@ -229,13 +234,21 @@ def attachments(rows: DataFrame) -> DataFrame:
 
 def compactions(rows: DataFrame) -> DataFrame:
     """Compaction boundaries with their sizes and the union of the preserved ids."""
+    return _as_boundary(rows.filter(_is_boundary()))
+
+
+def _is_boundary() -> Column:
+    return (F.col("route") == "system") & (vstr(F.col("v"), "$.subtype") == "compact_boundary")
+
+
+def _as_boundary(rows: DataFrame) -> DataFrame:
+    """Every row read as a compaction boundary."""
     v = F.col("v")
-    kept = rows.filter("route = 'system'").filter(vstr(v, "$.subtype") == "compact_boundary")
     pre, post, total = (
         strict_int(v, f"$.compactMetadata.{n}") for n in ("preTokens", "postTokens", "cumulativeDroppedTokens")
     )
     base = "$.compactMetadata.preservedMessages"
-    return kept.withColumns(
+    return rows.withColumns(
         {
             "has_metadata": is_object(v, "$.compactMetadata"),
             "p": F.struct(pre.alias("pre"), post.alias("post"), total.alias("total")),
@@ -258,19 +271,26 @@ def compactions(rows: DataFrame) -> DataFrame:
 
 
 def damage(rows: DataFrame, log: str) -> DataFrame:
-    """Every line that could not be used, with its kind and reason."""
+    """Every line that could not be used, with its kind and reason, from one pass in which each line is parsed once.
+
+    What is said of a line is written before it is filtered: a filter that Spark moves below the parsing repeats
+    the parsing for each place where it names a parsed value.
+    """
     where = F.concat(F.element_at(F.split(F.col("path"), "/"), -1), F.lit(":"), F.col("line").cast("string"))
-    broken = rows.filter(F.col("route").isin("unparseable_json", "not_an_object", "missing_type")).select(
-        log, "line", F.col("route").alias("kind"), where.alias("sample")
-    )
-    turns = assistant_records(rows).filter("outcome = 'malformed'").select(
-        log, "line", F.lit("malformed_record").alias("kind"), F.concat(where, F.lit(": "), F.col("why")).alias("sample")
-    )
-    bounds = compactions(rows).filter("outcome = 'malformed'").select(
-        log, "line", F.lit("malformed_record").alias("kind"),
-        F.concat(where, F.lit(": the boundary has no usable metadata")).alias("sample"),
-    )
-    return broken.unionByName(turns).unionByName(bounds)
+    broken = F.col("route").isin("unparseable_json", "not_an_object", "missing_type")
+    turn = F.col("route") == "assistant"
+    read = _as_assistant(rows.withColumn("of", F.when(broken, "line").when(turn, "turn").when(_is_boundary(), "boundary")))
+    read = _as_boundary(read.select(log, "line", "path", "route", "v", "of", F.col("outcome").alias("turn_outcome"), "why"))
+    bad_turn = (F.col("of") == "turn") & (F.col("turn_outcome") == "malformed")
+    bad_boundary = (F.col("of") == "boundary") & (F.col("outcome") == "malformed")
+    sample = (
+        F.when(bad_turn, F.concat(where, F.lit(": "), F.col("why")))
+        .when(bad_boundary, F.concat(where, F.lit(": the boundary has no usable metadata")))
+        .otherwise(where)
+    )
+    kind = F.when(F.col("of") == "line", F.col("route")).when(bad_turn | bad_boundary, "malformed_record")
+    said = stored(read.select(log, "line", kind.alias("kind"), F.when(kind.isNotNull(), sample).alias("sample")), "damage")
+    return said.filter("kind IS NOT NULL")
 
 
 def diagnostics(found: DataFrame, log: str) -> DataFrame:
