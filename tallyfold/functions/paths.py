@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import fixed
 
+SUFFIX = r"^.+([.][^.]+)$"
+
 
 def parts(path: Column) -> Column:
     """Segments with empty and '.' ones removed; a leading root is not a segment here."""
@@ -23,7 +25,7 @@ def name(path: Column) -> Column:
 
 def suffix(path: Column) -> Column:
     """Last dot and what follows, if at least one character stands on each side."""
-    return F.regexp_extract(name(path), r"^.+([.][^.]+)$", 1)
+    return F.regexp_extract(name(path), SUFFIX, 1)
 
 
 def parent(path: Column) -> Column:
@@ -78,7 +80,25 @@ def category_rule(identity: Column, kind: Column) -> Column:
 
 
 def category(identity: Column, kind: Column) -> Column:
-    return category_rule(identity, kind)["category"]
+    """The category of ``category_rule`` alone: the path is lowered and cut once, not again for each rule."""
+
+    def rule(segments: Column) -> Column:
+        base = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit(""))
+        ext = F.regexp_extract(base, SUFFIX, 1)
+        return (
+            F.when(kind.isin("tool_schema", "mcp_schema"), "schema")
+            .when(kind == "skill", "skill")
+            .when(kind == "system_prompt", "docs")
+            .when(kind == "conversation", "other")
+            .when(base.isin(*fixed.INSTRUCTION_NAMES), "docs")
+            .when(F.array_contains(segments, "skills") | (base == "skill.md"), "skill")
+            .when(F.array_contains(segments, "specs") | F.array_contains(segments, ".specify"), "spec")
+            .when(ext.isin(*fixed.SOURCE_SUFFIXES), "source")
+            .when(ext.isin(*fixed.DOC_SUFFIXES), "docs")
+            .otherwise("other")
+        )
+
+    return F.element_at(F.transform(F.array(parts(F.lower(identity))), rule), 1)
 
 
 def is_absolute(path: Column) -> Column:

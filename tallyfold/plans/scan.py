@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.plans import grouped, sizing
+from tallyfold.session import stored
 
 
 def number_lines(df: DataFrame, key: str, ts: str, tie: str, name: str = "line") -> DataFrame:
@@ -21,6 +22,45 @@ def number_lines(df: DataFrame, key: str, ts: str, tie: str, name: str = "line")
     return grouped.spread_rank(df, [key], [F.col(ts), F.col(tie)], name)
 
 
+def numbered_scan(
+    df: DataFrame,
+    key: str,
+    ts: str,
+    tie: str,
+    counts: Mapping[str, Column],
+    totals: Mapping[str, Column],
+    lasts: Mapping[str, Column],
+    name: str = "line",
+) -> DataFrame:
+    """``number_lines`` and ``scan_session`` at once: a session that one task may scan is numbered and scanned by one ordered pass.
+
+    Sessions of more than ``segmentRows`` rows are found by a count first; they alone are sliced and cut into segments.
+    """
+    rows = sizing.segment_rows(df.sparkSession)
+    whole = df.filter(F.col(key).isNotNull())
+    sizes = whole.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = stored(sizes.filter(F.col("_rows") > rows).select(key), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        hot = sizing.bounded_broadcast(hot, n_hot)
+        lined = number_lines(whole.join(hot, key, "left_semi"), key, ts, tie, name)
+        cut = scan_session(lined, [key], name, counts, totals, lasts, rows)
+        whole = whole.join(hot, key, "left_anti")
+    to_here = W.partitionBy(key).orderBy(ts, tie)
+    before = to_here.rowsBetween(W.unboundedPreceding, -1)
+    over_all = to_here.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    zero = F.lit(0).cast("bigint")
+    passed = whole.withColumns(
+        {
+            name: F.row_number().over(to_here).cast("bigint"),
+            **{n: F.coalesce(F.sum(c).over(before), zero) for n, c in counts.items()},
+            **{n: F.coalesce(F.sum(c).over(over_all), zero) for n, c in totals.items()},
+            **{n: F.last(c, ignorenulls=True).over(before) for n, c in lasts.items()},
+        }
+    )
+    return passed.unionByName(cut) if n_hot else passed
+
+
 def scan_session(
     df: DataFrame,
     keys: Sequence[str],

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions import paths
+from tallyfold.operators.residency import PLACED
 from tallyfold.plans import scan
 from tallyfold.sources.rates import RateTable
 
@@ -26,6 +27,7 @@ RATES = RateTable(
 
 
 TURN = "purchase"
+COMPACTION = "error"
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +53,10 @@ def turn_models(events: DataFrame) -> DataFrame:
 
 
 def log_of(events: DataFrame) -> DataFrame:
-    """Log rows of the sessions that the events belong to, which must be all events of these sessions."""
-    lined = scan.number_lines(
+    """Log rows of the sessions that the events belong to, which must be all events of these sessions; they come placed."""
+    turns = (F.col("event_type") == TURN).cast("int").cast("bigint")
+    comps = (F.col("event_type") == COMPACTION).cast("int").cast("bigint")
+    lined = scan.numbered_scan(
         events.select(
             F.col("user_id").alias("session_id"),
             "event_id",
@@ -64,13 +68,16 @@ def log_of(events: DataFrame) -> DataFrame:
         "session_id",
         "ts",
         "event_id",
+        counts={"turns_before": turns, "comps_before": comps},
+        totals={"n_turns": turns, "n_comps": comps},
+        lasts={"prev_model": F.when(F.col("event_type") == TURN, model_of(F.col("k"), F.col("session_id")))},
     )
     k = F.col("k")
     kind = F.col("event_type")
     turn = kind == TURN
     inj = kind.isin("view", "click")
     chg = kind == "signup"
-    comp = kind == "error"
+    comp = kind == COMPACTION
     zero = F.lit(0).cast("bigint")
     identity = F.concat(
         F.lit("/repo/d"),
@@ -123,4 +130,5 @@ def log_of(events: DataFrame) -> DataFrame:
         F.when(comp, k * 1000).alias("pre_tokens"),
         F.when(comp, k * 100).alias("post_tokens"),
         F.when(comp, k * 1500).alias("cumulative_tokens"),
+        *PLACED,
     )
