@@ -15,7 +15,7 @@ _plans: dict[tuple, ledger.Model] = {}
 def model(
     spark: SparkSession, sf: str, policy: str = "proportional", before: str | None = None
 ) -> ledger.Model:
-    """The run's tables. The scanned log, the ledger and the facts are written once, when first used."""
+    """The run's tables. The scanned log, the ledger, the facts and the sums per item are written once, when first used."""
     key = (spark.sparkContext.applicationId, files.stamp(spark, f"{sf}/events.parquet"), sf, policy, before)
     if key not in _plans:
         log = events.session_log(spark, sf, before)
@@ -24,7 +24,7 @@ def model(
 
 
 def rollup(m: ledger.Model) -> DataFrame:
-    return rollups.item_rollup(m.ledger, m.items, m.spans)
+    return rollups.item_rollup(m.session_items, m.items, m.spans)
 
 
 def long(*names: str) -> list[Column]:

@@ -345,7 +345,7 @@ CAST(cached_token_turns AS BIGINT) AS cached_token_turns, CAST(uncached_token_tu
 coalesce(never_cacheable_on, '') AS never_cacheable_on, coalesce(threshold_unknown_on, '') AS threshold_unknown_on
 FROM laneroll l LEFT JOIN never USING (session_id, item_id) LEFT JOIN unk USING (session_id, item_id)""", ranks=True))
 def a11(spark, sf):
-    rows = ro.session_items(model(spark, sf).ledger)
+    rows = model(spark, sf).session_items
     lanes = [f"{lane}_{w}" for w in ("turns", "token_turns") for lane in fixed.LANES]
     return rows.filter(F.col("cached_turns") + F.col("uncached_turns") + F.col("loading_turns") > 0).select(
         "session_id", "item_id", *long(*lanes),

@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from tallyfold.functions import fixed
 from tallyfold.functions.money import cost_micros
 from tallyfold.operators import residency as res
+from tallyfold.operators import rollups
 from tallyfold.plans import grouped, sizing
 from tallyfold.session import stored
 from tallyfold.sources.rates import RateTable
 
 KEY = res.SESSION_TURN
+#: What the ledger is dealt by: a block of turns of one session goes to one task.
+DEAL = ["session_id", "block"]
+SHORT = 2**31 - 1
 
 
 def priced(turn_rows: DataFrame, rates: RateTable) -> DataFrame:
@@ -135,12 +139,19 @@ class Model:
     changes: DataFrame
     marks: DataFrame
     book: DataFrame
+    charges: DataFrame
     keep: bool = False
 
     @cached_property
     def ledger(self) -> DataFrame:
         return stored(self.book, "ledger") if self.keep else self.book
 
+    @cached_property
+    def session_items(self) -> DataFrame:
+        """Costs and lanes per (session, item), of which there are far fewer than ledger rows."""
+        sums = rollups.session_items(self.charges)
+        return stored(sums, "session-items") if self.keep else sums
+
     @property
     def lanes(self) -> DataFrame:
         return lanes(self.ledger)
@@ -181,8 +192,10 @@ def build(
     marks = change_marks(changes)
     # The row count of what was written comes from the files' footers.
     parts = sizing.ledger_parts(placed.count()) if keep else None
-    book = ledger(turn_rows, inj, res.resident(span_rows), marks, policy, parts)
-    return Model(placed, turn_rows, inj, comps, item_rows, span_rows, changes, marks, book, keep)
+    held = res.held(span_rows)
+    book = ledger(turn_rows.join(marks, KEY, "left"), inj, held, None, policy, parts)
+    charges = ledger(turn_rows, inj, held, changes, policy, parts)
+    return Model(placed, turn_rows, inj, comps, item_rows, span_rows, changes, marks, book, charges, keep)
 
 
 TURN_FACTS = [
@@ -190,18 +203,28 @@ TURN_FACTS = [
     "fresh_micros", "write_micros", "read_micros", "output_micros", "total_micros",
     "confidence_cap", "uuid", "line", "trigger", "tier", "detail",
 ]
+#: What the split of the charges reads of a turn, and what the sums per item read of it.
+SPLIT_FACTS = [
+    "model", "input_rate", "threshold", "input_tokens", "write_tokens", "read_tokens",
+    "fresh_micros", "write_micros", "read_micros", "confidence_cap",
+]
+ITEM_FACTS = ["model", "threshold", "confidence_cap"]
 
 
 def ledger(
-    turn_rows: DataFrame, inj: DataFrame, resident: DataFrame, marks: DataFrame, policy: str, parts: int | None = None
+    turn_rows: DataFrame, inj: DataFrame, held: DataFrame, changes: DataFrame | None, policy: str, parts: int | None = None
 ) -> DataFrame:
     """One row per turn, injection and resident item, with lanes, pools and shares filled in.
 
-    ``parts`` is the number of tasks that the turns are dealt to; without it the number is left to Spark.
+    Without ``changes``, the turns carry the marks of their changes, and every row all facts of its turn. With them, only
+    injections and resident items are returned, with the few facts that sums per item read: the changes are stacked
+    with the other rows, so no mark is made, and the rows that are sorted stay narrow. A span travels once per block of
+    turns, and becomes a row per turn in the task that has the block. ``parts`` is the number of tasks that the blocks
+    are dealt to; without it the number is left to Spark.
     """
-    facts = turn_rows.join(marks, KEY, "left")
+    narrow = changes is not None
     stacked = (
-        facts.select(*KEY, F.lit("turn").alias("row"), F.struct(*TURN_FACTS).alias("t"))
+        turn_rows.select(*KEY, F.lit("turn").alias("row"), F.struct(*(SPLIT_FACTS if narrow else TURN_FACTS)).alias("t"))
         .unionByName(
             inj.select(
                 *KEY, F.lit("inj").alias("row"), "item_id", "size_tokens",
@@ -210,33 +233,41 @@ def ledger(
             allowMissingColumns=True,
         )
         .unionByName(
-            resident.select(
-                *KEY, F.lit("res").alias("row"), "item_id", "size_tokens",
+            _by_block(held).select(
+                *KEY, "until", F.lit("res").alias("row"), "item_id", "size_tokens",
                 F.col("opened_line").alias("pos"), "first_turn",
             ),
             allowMissingColumns=True,
         )
     )
-    if parts:
-        stacked = stacked.repartition(parts, *KEY)
+    if narrow:
+        stacked = stacked.unionByName(changes.select(*KEY, F.lit("chg").alias("row")), allowMissingColumns=True)
+    stacked = stacked.withColumn("block", sizing.block_of(F.col("turn_index")))
+    stacked = stacked.repartition(parts, *DEAL) if parts else stacked.repartition(*DEAL)
+    turns_of = F.sequence("turn_index", F.coalesce("until", "turn_index"))
+    stacked = stacked.select(
+        *[c for c in stacked.columns if c not in ("turn_index", "until")], F.explode(turns_of).alias("turn_index")
+    )
+    at_turn = [*DEAL, "turn_index"]
     is_inj, is_res = F.col("row") == "inj", F.col("row") == "res"
     size = F.col("size_tokens")
     zero = F.lit(0).cast("bigint")
     # 1. what the turn brings, spread to all of its rows. The finer groups come first: rows sorted by them lie sorted
     # for the coarser ones, so this and the sums below share one sort, and the rank and the given another.
     spread = grouped.with_totals(
-        stacked, [*KEY, "item_id"], _injected=F.max(F.when(is_inj, 1).otherwise(0))
+        stacked, [*at_turn, "item_id"], _injected=F.max(F.when(is_inj, 1).otherwise(0))
     )
     spread = grouped.with_totals(
-        spread, KEY,
+        spread, at_turn,
         _t=F.first("t", ignorenulls=True),
         arrived_tokens=F.sum(F.when(is_inj, size).otherwise(zero)),
         n_injections=F.count(F.when(is_inj, 1)),
+        _n_changes=F.count(F.when(F.col("row") == "chg", 1)),
     )
     spread = spread.drop("t").withColumnRenamed("_t", "t")
     t = F.col("t")
     injected = F.col("_injected") == 1
-    changed = t["trigger"].isNotNull()
+    changed = F.col("_n_changes") > 0 if narrow else t["trigger"].isNotNull()
     known = t["threshold"].isNotNull()
     below = is_res & F.coalesce(size < t["threshold"], F.lit(False))
     older = is_res & (F.col("first_turn") < F.col("turn_index")) & ~injected
@@ -249,7 +280,7 @@ def ledger(
     )
     classed = spread.withColumn("lane", lane)
     sums = grouped.with_totals(
-        classed, KEY,
+        classed, at_turn,
         below_tokens=F.sum(F.when(below, size).otherwise(zero)),
         cached_tokens=F.sum(F.when(F.col("lane") == "cached", size).otherwise(zero)),
         n_cached=F.count(F.when(F.col("lane") == "cached", 1)),
@@ -307,6 +338,8 @@ def ledger(
         read_pool = F.when(F.col("n_cached") == 1, t["read_micros"]).otherwise(zero)
     else:
         read_pool = t["read_micros"]
+    if narrow:
+        pooled = pooled.filter(is_inj | is_res)
     pool = F.col("pool")
     amount = (
         F.when(pool == "direct", F.greatest(zero, t["write_micros"] - F.col("forced_micros")))
@@ -320,19 +353,42 @@ def ledger(
         .when(pool == "cached", F.col("cached_tokens"))
         .otherwise(F.lit(1))
     )
-    product = F.col("_amount").cast("decimal(19,0)") * F.coalesce(size, zero).cast("decimal(19,0)")
-    whole = F.greatest(F.col("_total"), F.lit(1)).cast("decimal(19,0)")
-    cutp = pooled.withColumns({"_amount": amount, "_total": total}).withColumns(
-        {"_floor": F.call_function("div", product, whole), "_rest": (product % whole).cast("bigint")}
+    weight, whole = F.coalesce(size, zero), F.greatest(F.col("_total"), F.lit(1))
+    product = F.col("_amount").cast("decimal(19,0)") * weight.cast("decimal(19,0)")
+    # Factors of 31 bits are multiplied as whole numbers, which is exact as well and far cheaper than decimals.
+    short = F.abs(F.col("_amount")).between(0, SHORT) & F.abs(weight).between(0, SHORT)
+    quick = F.col("_amount") * weight
+    cutp = pooled.withColumns({"_amount": amount, "_total": total})
+    if narrow:
+        cutp = cutp.withColumn("t", F.struct(*[t[name].alias(name) for name in ITEM_FACTS]))
+    cutp = cutp.withColumns(
+        {
+            "_floor": F.when(short, F.call_function("div", quick, whole)).otherwise(
+                F.call_function("div", product, whole.cast("decimal(19,0)"))
+            ),
+            "_rest": F.when(short, quick % whole).otherwise((product % whole.cast("decimal(19,0)")).cast("bigint")),
+        }
     )
     ranked = grouped.with_rank(
-        cutp, [*KEY, "pool"], [F.col("_rest").desc(), F.col("pos"), F.col("row")], "_rank"
+        cutp, [*at_turn, "pool"], [F.col("_rest").desc(), F.col("pos"), F.col("row")], "_rank"
     )
-    given = grouped.with_totals(ranked, [*KEY, "pool"], _given=F.sum("_floor"))
+    given = grouped.with_totals(ranked, [*at_turn, "pool"], _given=F.sum("_floor"))
     share = F.col("_floor") + F.when(F.col("_rank") <= F.col("_amount") - F.col("_given"), 1).otherwise(0)
     return given.withColumn(
         "share", F.when(pool.isin("direct", "uncached", "cached"), share.cast("bigint")).otherwise(zero)
-    ).drop("_injected", "_amount", "_total", "_floor", "_rest", "_given", "_rank")
+    ).drop("_injected", "_n_changes", "_amount", "_total", "_floor", "_rest", "_given", "_rank", *([] if narrow else ["block"]))
+
+
+def _by_block(held: DataFrame) -> DataFrame:
+    """Spans cut into the blocks that they reach into, each from ``turn_index`` to ``until``."""
+    first = F.col("block") * sizing.BLOCK_TURNS
+    blocks = F.sequence(sizing.block_of(F.col("start")), sizing.block_of(F.col("end_turn")))
+    return held.withColumn("block", F.explode(blocks)).withColumns(
+        {
+            "turn_index": F.greatest("start", first),
+            "until": F.least(F.col("end_turn"), first + (sizing.BLOCK_TURNS - 1)),
+        }
+    )
 
 
 def lanes(book: DataFrame) -> DataFrame:

@@ -165,26 +165,27 @@ def spans(
     )
 
 
-def resident(span_rows: DataFrame) -> DataFrame:
-    """One row per (session, turn, item) in which the item was resident.
+def held(span_rows: DataFrame) -> DataFrame:
+    """Spans that hold some turn, with the first and last of their turns in ``start`` and ``end_turn``.
 
     Two spans of an item can only meet on turn 0 (a compaction before any turn); the later one
-    then starts at turn 1, so the rows are unique without a distinct.
+    then starts at turn 1, so their turns are unique without a distinct.
     """
     start = F.when(
         (F.col("first_turn") == 0) & (F.col("opened_line") > F.col("zero_line")), F.lit(1).cast("bigint")
     ).otherwise(F.col("first_turn"))
-    return (
-        span_rows.withColumn("start", start)
-        .filter(F.col("end_turn") >= F.col("start"))
-        .select(
-            *SESSION_ITEM,
-            "kind",
-            "identity",
-            "category",
-            "size_tokens",
-            "opened_line",
-            "first_turn",
-            F.explode(F.sequence("start", "end_turn")).alias("turn_index"),
-        )
+    return span_rows.withColumn("start", start).filter(F.col("end_turn") >= F.col("start"))
+
+
+def resident(span_rows: DataFrame) -> DataFrame:
+    """One row per (session, turn, item) in which the item was resident."""
+    return held(span_rows).select(
+        *SESSION_ITEM,
+        "kind",
+        "identity",
+        "category",
+        "size_tokens",
+        "opened_line",
+        "first_turn",
+        F.explode(F.sequence("start", "end_turn")).alias("turn_index"),
     )

@@ -19,38 +19,46 @@ def name_of(rank: Column, ladder: tuple[str, ...]) -> Column:
 
 
 def session_items(book: DataFrame) -> DataFrame:
-    """Per (session, item): costs and lane token-turns, from one aggregate over the ledger."""
+    """Per (session, item): costs and lane token-turns, from the narrow ledger.
+
+    A block of turns lies in one task, so it is summed there, by model, before anything is shuffled.
+    """
     is_inj, is_res = F.col("row") == "inj", F.col("row") == "res"
     size, share = F.col("size_tokens"), F.col("share")
     zero = F.lit(0).cast("bigint")
     cap = rank_of(F.coalesce(F.col("t.confidence_cap"), F.lit("medium")), fixed.CONFIDENCE)
-    lane_sums = [
-        F.sum(F.when(is_res & (F.col("lane") == lane), value).otherwise(zero)).alias(f"{lane}_{what}")
+    lane_sums = {
+        f"{lane}_{what}": F.when(is_res & (F.col("lane") == lane), value).otherwise(zero)
         for lane in fixed.LANES
         for what, value in (("turns", F.lit(1).cast("bigint")), ("token_turns", size))
-    ]
-    uncached_on = F.collect_set(F.when(F.col("lane") == "uncached", F.col("t.model")))
-    unknown_on = F.collect_set(
-        F.when(is_res & F.col("lane").isNotNull() & F.col("t.threshold").isNull(), F.col("t.model"))
-    )
-    return book.filter(is_inj | is_res).groupBy(*SESSION_ITEM).agg(
-        F.sum(F.when(is_inj, share).otherwise(zero)).alias("direct_micros"),
-        F.sum(F.when(is_res, share).otherwise(zero)).alias("carry_micros"),
-        F.count_if(share != 0).alias("rows"),
+    }
+    sums = {
+        "direct_micros": F.when(is_inj, share).otherwise(zero),
+        "carry_micros": F.when(is_res, share).otherwise(zero),
+        "rows": (share != 0).cast("int").cast("bigint"),
+        **lane_sums,
+    }
+    unknown = is_res & F.col("lane").isNotNull() & F.col("t.threshold").isNull()
+    blocks = book.filter(is_inj | is_res).groupBy("session_id", "block", "item_id", F.col("t.model").alias("model")).agg(
+        *[F.sum(value).alias(name) for name, value in sums.items()],
         F.max(F.when(share != 0, F.when(is_inj, cap).otherwise(1))).alias("confidence_rank"),
-        *lane_sums,
-        uncached_on.alias("never_cacheable_on"),
-        unknown_on.alias("threshold_unknown_on"),
+        F.max(F.when(unknown, 1)).alias("unknown"),
+    )
+    return blocks.groupBy(*SESSION_ITEM).agg(
+        *[F.sum(name).alias(name) for name in sums],
+        F.max("confidence_rank").alias("confidence_rank"),
+        F.collect_set(F.when(F.col("uncached_turns") > 0, F.col("model"))).alias("never_cacheable_on"),
+        F.collect_set(F.when(F.col("unknown") == 1, F.col("model"))).alias("threshold_unknown_on"),
     )
 
 
-def item_rollup(book: DataFrame, item_rows: DataFrame, span_rows: DataFrame) -> DataFrame:
-    """One row per item over all sessions in which it was charged something.
+def item_rollup(session_rows: DataFrame, item_rows: DataFrame, span_rows: DataFrame) -> DataFrame:
+    """One row per item over all sessions in which it was charged something, from the rows of ``session_items``.
 
     The three inputs share the key (session, item); only the second, pre-aggregated step
     shuffles on the item.
     """
-    charged = session_items(book).filter("rows > 0")
+    charged = session_rows.filter("rows > 0")
     held = span_rows.groupBy(*SESSION_ITEM).agg(F.sum("turns_held").alias("turns_resident"))
     known = item_rows.select(
         *SESSION_ITEM, "kind", "identity", "category", "size_tokens", "loads",

@@ -9,6 +9,8 @@ SEGMENT_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 #: Log rows whose ledger one task holds while it sorts.
 LEDGER_ROWS = 25_000
+#: Turns of a session that are dealt to a task together.
+BLOCK_TURNS = 64
 
 SEGMENT_KEY = "tallyfold.segmentRows"
 
@@ -23,6 +25,11 @@ def ledger_parts(rows: int) -> int:
     return max(1, -(-rows // LEDGER_ROWS))
 
 
+def block_of(turn: Column) -> Column:
+    """Block number of a turn."""
+    return F.call_function("div", turn, F.lit(BLOCK_TURNS).cast("bigint"))
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast only when the row count, known to the caller, is small; else leave it to AQE."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
