@@ -10,16 +10,18 @@ one node (the node id is a 64-bit digest of the set). Then
    are index keys by themselves; of frequent tokens (above ``frequent_df``) each combination of
    two is a key. Either kind finds every pair that shares two prefix tokens.
 3. All sets of a key are verified against the key's leader, the set with the smallest share of
-   tokens of its own, and the links give first components. Only pairs under one key in different
-   components, whose positions and token buckets still allow enough overlap, are verified after that. So no link between
-   components is lost, and pairs inside a component found already are never made.
+   tokens of its own, and the links give first components. Only pairs of one leader's sets in different
+   components, whose overlaps with the leader and token buckets still allow enough overlap, are verified after that. So no link between
+   components is lost, and pairs inside a component found already are never made. A pair is met once for each leader
+   that both sets have, however many keys they share.
 
 Intersections are exact on the hashes. Everything but hashing runs as joins and aggregates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,12 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Memo, cleared, pick, saved
+from tallyfold.llm.common import cleared, pick, saved
 
 #: Sets up to so many are sent to all executors as 8-byte keys (64 MB); more are joined by shuffle.
 BROADCAST_KEYS = 4_000_000
 #: One more token of the sieve's prefix is asked for with each so many tokens of a set.
 SIEVE = 20
+#: Bytes of text that are hashed at once, and places in a word that have random numbers of their own.
+PIECE, PLACES = 1 << 15, 64
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -41,31 +46,75 @@ def least_overlap(size: int, percent: int) -> int:
 
 
 class Shingler:
-    """Sorted 64-bit hashes of the distinct shingles of a text."""
-
-    def __init__(self, width: int = 5, memo: int = 150_000) -> None:
-        self.width, self.memo = width, Memo(memo)
-
-    def word(self, w: bytes) -> int:
-        h = self.memo.get(w)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(w)
-            self.memo.put(w, h)
-        return h
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        ws = text.lower().split() if text else []
-        n = len(ws)
-        if not n:
-            return np.empty(0, np.int64)
-        own = self.word
-        h = np.fromiter([own(w) for w in ws], np.uint64, n)
-        width = min(self.width, n)
-        out = np.full(n - width + 1, width, np.uint64)
+    """Sorted 64-bit hashes of the distinct shingles of texts.
+
+    A word's hash is the sum of random numbers, one for each byte and its place in the word, so
+    the words of many texts are hashed by a few passes over their bytes.
+    """
+
+    def __init__(self, width: int = 5) -> None:
+        self.width = width
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.numbers = np.random.default_rng(6).integers(0, 1 << 64, (PLACES, 256), np.uint64)
+        self.numbers[:, 65:91] = self.numbers[:, 97:123]
+        self.numbers[:, self.space] = 0
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of ``data``, which ends with a space, and where they begin."""
+        raw = np.frombuffer(data, np.uint8)
+        space = self.space[raw]
+        edges = np.flatnonzero(np.diff(space, prepend=True))
+        begin = edges[0::2]
+        if not len(begin):
+            return np.empty(0, np.uint64), begin
+        raw = raw[begin[0] :]
+        place = np.arange(len(raw)) - np.repeat(begin - begin[0], np.diff(begin, append=len(data)))
+        number = self.numbers.reshape(-1).take((place % PLACES << 8) | raw)
+        if (edges[1::2] - begin).max() > PLACES:
+            # Beyond the table's places its numbers come again, times a power of an odd number.
+            number *= np.uint64(0xD6E8FEB86659FD93) ** (place // PLACES).astype(np.uint64)
+        return np.add.reduceat(number, begin - begin[0]), begin
+
+    def _mixed(self, h: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of each ``width`` words that follow one another."""
+        out = np.full(max(0, len(h) - width + 1), width, np.uint64)
         for k in range(width):
-            out = (out ^ h[k : n - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= h[k : k + len(out)]
+            out *= np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(32)
-        return np.unique(out.view(np.int64))
+        return out.view(np.int64)
+
+    def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        data = b" ".join([*texts, b""])
+        # A long text is cut where a word ends.
+        cuts, hashes, begins = [0], [], []
+        while cuts[-1] < len(data):
+            end = SPACE.search(data, min(cuts[-1] + 2 * PIECE, len(data)) - 1).end()
+            h, begin = self._words(data[cuts[-1] : end])
+            hashes.append(h)
+            begins.append(begin + cuts[-1])
+            cuts.append(end)
+        h, begin = np.concatenate(hashes), np.concatenate(begins)
+        mixed = self._mixed(h, self.width)
+        start = 0
+        for end in np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts])).tolist():
+            n = end - start
+            s = np.sort(mixed[start : end - self.width + 1] if n >= self.width else self._mixed(h[start:end], n) if n else mixed[:0])
+            yield s[np.diff(s, prepend=s[:1] - 1) != 0]
+            start = end
+
+    def __call__(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+        """The sets of the texts, in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or b"")
+            size += len(held[-1])
+            if size >= PIECE:
+                yield from self._together(held)
+                held, size = [], 0
+        if held:
+            yield from self._together(held)
 
 
 def _hashed(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -76,8 +125,7 @@ def _hashed(docs: DataFrame, width: int, percent: int) -> DataFrame:
         shingle = Shingler(width)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                s = shingle(text)
+            for s in shingle(batch["text"]):
                 n = len(s)
                 head = s[: n - least_overlap(n, percent) + 1 + n // SIEVE] if n else s
                 node = xxhash.xxh3_64_intdigest(s.tobytes())
@@ -102,7 +150,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         cleared()
         shingle = Shingler(width)
         for batch in batches:
-            sets = [shingle(t) for t in batch["text"]]
+            sets = list(shingle(batch["text"]))
             parity = [np.packbits(np.bincount(s & 1023, minlength=1024).astype(np.uint8) & 1).view(np.int64) for s in sets]
             yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "tokens": sets, "parity": parity}, index=batch.index)
 
@@ -122,7 +170,7 @@ def _sieve(hashed: DataFrame, percent: int) -> DataFrame:
 
 
 def _postings(sets: DataFrame, percent: int, frequent_df: int) -> DataFrame:
-    """key, node, n, own (tokens that no other set has), at (tokens that stand before the key's)."""
+    """key, node, share (of its tokens, those that no other set has)."""
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
     w = Window.partitionBy("token")
     tokens = tokens.withColumn("df", F.count("*").over(w)).where("df > 1")
@@ -131,22 +179,37 @@ def _postings(sets: DataFrame, percent: int, frequent_df: int) -> DataFrame:
     # The prefix for one shared token and its extension for two, less the tokens that nobody shares, which come first.
     reach = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 2 - own as int)")
     ordered = ordered.withColumn("reach", reach).where("reach > 0")
-    ordered = ordered.withColumn("head", F.expr("transform(slice(tokens, 1, reach), (t, i) -> struct(t.df as df, t.token as token, own + i as at))")).drop("tokens")
-    single = F.expr(f"transform(filter(head, t -> t.df <= {frequent_df}), t -> struct(t.token as key, t.at as at))")
-    ordered = ordered.withColumn("many", F.expr(f"filter(head, t -> t.df > {frequent_df})"))
-    pairs = F.expr(
-        "flatten(transform(many, (a, i) -> transform(slice(many, i + 2, size(many)), b -> struct(xxhash64(a.token, b.token) as key, a.at as at))))"
-    )
-    keys = ordered.select("node", "n", "own", F.explode(F.concat(single, pairs)).alias("k"))
-    return keys.select("k.key", "node", "n", "own", "k.at")
+    ordered = ordered.withColumn("head", F.slice("tokens", F.lit(1), F.col("reach"))).drop("tokens")
+    single = F.expr(f"transform(filter(head, t -> t.df <= {frequent_df}), t -> t.token)")
+    ordered = ordered.withColumn("many", F.expr(f"transform(filter(head, t -> t.df > {frequent_df}), t -> t.token)"))
+    pairs = F.expr("flatten(transform(many, (a, i) -> transform(slice(many, i + 2, size(many)), b -> xxhash64(a, b))))")
+    return ordered.select(F.explode(F.concat(single, pairs)).alias("key"), "node", (F.col("own") / F.col("n")).alias("share"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets are similar enough."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb (sizes of both sets), common (size of the intersection)."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
+
+
+def _met(star: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the sets of one leader that are in different components and may be similar enough, of which one is not in the leader's."""
+    to = found.withColumnRenamed("component", "to")
+    rest = star.join(to.withColumnRenamed("node", "a"), "a", "left").join(found.withColumnRenamed("node", "b"), "b", "left")
+    rest = rest.select("b", F.col("a").alias("node"), F.col("na").alias("n"), "common", F.coalesce("to", "a").alias("to"), F.coalesce("component", "b").alias("head"))
+    far = rest.where("to <> head")
+    # Without sets outside of its component a leader has no pairs.
+    rest = rest.join(far.select("b").distinct(), "b").join(sets.select("node", "parity"), "node")
+    a = rest.where("to <> head").selectExpr("b as lead", "node as a", "n as na", "common as oa", "to as ca", "parity as pa")
+    b = rest.selectExpr("b as lead", "node as b", "n as nb", "common as ob", "to as cb", "to <> head as also", "parity as pb")
+    # What two sets can share at most, inside and outside of the leader's.
+    most = "(least(oa, ob) + least(na - oa, nb - ob))"
+    enough = f"100 * {most} >= {percent} * (na + nb - {most})"
+    # Buckets of odd difference hold at least a token that only one of the sets has.
+    apart = " + ".join(f"bit_count(pa[{k}] ^ pb[{k}])" for k in range(16))
+    close = f"100 * (na + nb - ({apart})) >= {percent} * (na + nb + ({apart}))"
+    return a.join(b, "lead").where(f"ca <> cb and (not also or a < b) and {enough} and {close}").select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,29 +248,14 @@ def near_copies(docs: DataFrame, *, percent: int = 80, width: int = 5, frequent_
         rows = _texts(docs).join(active, "key")
     sets = saved(_sets(rows, width).dropDuplicates(["node"]), "sets")
     postings = saved(_postings(sets, percent, frequent_df), "postings")
-    # What two sets can share at most when they share this key: of the two first shared tokens it is the second at the latest.
-    most = "(2 + least(na - 1 - ata, nb - 1 - atb))"
-    enough = f"100 * {most} >= {percent} * (na + nb - {most})"
-    # Buckets of odd difference hold at least a token that only one of the sets has.
-    apart = " + ".join(f"bit_count(pa[{k}] ^ pb[{k}])" for k in range(16))
-    close = f"100 * (na + nb - ({apart})) >= {percent} * (na + nb + ({apart}))"
-
-    lead = postings.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node")).alias("lead"), F.count("*").alias("size"))
+    lead = postings.groupBy("key").agg(F.min(F.struct("share", "node")).alias("lead"), F.count("*").alias("size"))
     lead = lead.where("size > 1").select("key", F.col("lead.node").alias("lead"))
     star = postings.join(lead, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    links = saved(_verified(star, sets, percent), "star")
-    found = components(links)
-
-    known = postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = saved(known, "known")
-    mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    heads = lead.join(mixed.select("key"), "key").join(found.withColumnRenamed("node", "lead"), "lead", "left")
-    heads = heads.select("key", F.coalesce("component", "lead").alias("head"))
-    rest = known.join(heads, "key").join(sets.select("node", "parity"), "node")
-    a = rest.where("component <> head").selectExpr("key", "node as a", "n as na", "at as ata", "component as ca", "parity as pa")
-    b = rest.selectExpr("key", "node as b", "n as nb", "at as atb", "component as cb", "component <> head as also", "parity as pb")
-    cross = a.join(b, "key").where(f"ca <> cb and (not also or a < b) and {enough} and {close}").select("a", "b").distinct()
-    links = links.union(saved(_verified(cross, sets, percent), "cross"))
+    star = saved(_overlaps(star, sets), "star")
+    similar = f"100 * common >= {percent} * (na + nb - common)"
+    links = star.where(similar).select("a", "b")
+    met = _overlaps(_met(star, components(links), sets, percent), sets)
+    links = links.union(saved(met.where(similar).select("a", "b"), "cross"))
     found = components(links)
 
     own = hashed.select("doc_id", "n", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
