@@ -3,10 +3,11 @@
 The graph starts from blocks of vectors that lie on the same sides of random hyperplanes. Each
 round of NN-descent joins neighbours with neighbours: a vector's sampled neighbours, forward and
 backward, meet at it and learn of each other where that betters their lists. Rounds end
-when few lists change. A search then holds, per query, the scored vectors it has seen; each hop expands
-its best ones not expanded yet by a join with the graph, until no query has any left.
+when few lists change. A search then holds, per query, its best scored vectors and the ids of all it has seen; each hop expands
+its best ones not expanded yet by a join with the graph, until no query has any left. What is reached goes to
+the buckets that hold the vectors, a list for each query and bucket, and comes back with scores.
 
-Equal vectors are one node of the graph and are told apart by vec_id at the end. Blocks and samples are
+Equal vectors are one node of the graph and are told apart by vec_id at the end. Blocks, samples, buckets and parts of the queries are
 bounded, so a group of nearly equal ones can't make a task large; all state lives in written tables. The graph is approximate (recall is measured in the tests); the
 scores that are returned are computed from the original vectors in double precision. Before that a score is the squared distance
 of the unit vectors, negative, which tells vectors apart whose cosines are equal in single precision.
@@ -15,12 +16,12 @@ of the unit vectors, negative, which tells vectors apart whose cosines are equal
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import pick, saved
@@ -93,8 +94,8 @@ def _blocks(points: DataFrame, dimension: int, count: int, s: Settings) -> DataF
                 yield pd.DataFrame({"tree": t, "side": key, "node": batch["node"], "unit": batch["unit"]})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, ["tree", "side", "salt"], s.block):
-            yield _pairs(group["node"].to_numpy(), unit(group["unit"]), s.told, None, None)
+        for rows, cuts in _groups(batches, ["tree", "side", "salt"], s.block):
+            yield _pairs(rows["node"].to_numpy(), unit(rows["unit"]), cuts, s.told)
 
     placed = points.select("node", "unit").mapInPandas(sides, "tree int, side long, node long, unit binary")
     # A side that holds a large share of all vectors is spread over tasks, by other halves in each tree; blocks are cut from these.
@@ -103,8 +104,8 @@ def _blocks(points: DataFrame, dimension: int, count: int, s: Settings) -> DataF
     return placed.mapInPandas(meet, "src long, dst long, score float").withColumn("new", F.lit(True))
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[pd.DataFrame]:
-    """Runs of rows with equal keys from sorted batches, cut at ``most`` rows."""
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of sorted batches, and where the groups of equal keys in them begin and end; groups are cut at ``most`` rows."""
     held: pd.DataFrame | None = None
     for batch in batches:
         if held is not None:
@@ -112,36 +113,50 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iter
         if not len(batch):
             continue
         k = batch[keys].to_numpy()
-        ends = [*(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
-        start = 0
-        for end in ends[:-1]:
-            for at in range(start, end, most):
-                yield batch.iloc[at : min(at + most, end)]
-            start = end
-        while len(batch) - start > most:
-            yield batch.iloc[start : start + most]
-            start += most
-        held = batch.iloc[start:]
+        starts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()]
+        cuts = [at for start, end in zip(starts, starts[1:]) for at in range(start, end, most)]
+        # The last group may go on in the next batch.
+        cuts += range(starts[-1], len(batch), most)
+        if len(cuts) > 1:
+            yield batch.iloc[: cuts[-1]], np.array(cuts)
+        held = batch.iloc[cuts[-1] :]
     if held is not None and len(held):
-        yield held
-
-
-def _pairs(node: np.ndarray, x: np.ndarray, told: int, new: np.ndarray | None, least: np.ndarray | None) -> pd.DataFrame:
-    """For each vector of a block the ``told`` best others, above its worst neighbour where that is given."""
-    x = x.astype(np.float64)
-    length = np.einsum("ij,ij->i", x, x)
-    score = 2 * (x @ x.T) - length[:, None] - length[None, :]
-    score[node[:, None] == node[None, :]] = -9
-    if new is not None:
-        score[~(new[:, None] | new[None, :])] = -9
-        score[score <= least[:, None]] = -9
-    k = min(told, len(node) - 1)
-    if k <= 0:
-        return pd.DataFrame({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64), "score": np.empty(0, np.float32)})
-    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    best = np.take_along_axis(score, top, axis=1)
-    good = best > -9
-    return pd.DataFrame({"src": np.repeat(node, k).reshape(-1, k)[good], "dst": node[top][good], "score": best[good].astype(np.float32)})
+        yield held, np.array([0, len(held)])
+
+
+#: Scores that are held at once.
+SCORES = 1 << 17
+
+
+def _pairs(
+    node: np.ndarray, x: np.ndarray, cuts: np.ndarray, told: int, new: np.ndarray | None = None, least: np.ndarray | None = None
+) -> pd.DataFrame:
+    """For each vector of a group the ``told`` best others, above its worst neighbour where that is given; many groups are scored at once."""
+    out = []
+    new = np.ones(len(node), bool) if new is None else new
+    least = np.full(len(node), -9.0) if least is None else least
+    starts, sizes = cuts[:-1], np.diff(cuts)
+    step = max(1, SCORES // int(sizes.max()) ** 2)
+    for at in range(0, len(starts), step):
+        size = sizes[at : at + step, None]
+        place = np.arange(size.max())
+        row = np.minimum(starts[at : at + step, None] + place, len(node) - 1)
+        own = place < size
+        v = x[row].astype(np.float64)
+        length = np.einsum("gij,gij->gi", v, v)
+        score = 2 * (v @ v.transpose(0, 2, 1)) - length[:, :, None] - length[:, None, :]
+        n, is_new = node[row], new[row]
+        good = score > least[row][:, :, None]
+        good &= (own[:, :, None] & own[:, None, :]) & (is_new[:, :, None] | is_new[:, None, :]) & (n[:, :, None] != n[:, None, :])
+        many = good.sum(axis=2) > told
+        if many.any():
+            some = np.where(good[many], score[many], -9)
+            top = np.zeros(some.shape, bool)
+            np.put_along_axis(top, np.argpartition(-some, told - 1, axis=1)[:, :told], True, axis=1)
+            good[many] = top
+        g, a, b = np.nonzero(good)
+        out.append(pd.DataFrame({"src": n[g, a], "dst": n[g, b], "score": score[g, a, b].astype(np.float32)}))
+    return pd.concat(out, ignore_index=True)
 
 
 def graph(points: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -152,8 +167,8 @@ def graph(points: DataFrame, settings: Settings | None = None) -> DataFrame:
     edges = saved(_best(_blocks(points, first.d if first else 1, count, s), s.degree), "edges")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, ["at"], 4 * s.sample):
-            yield _pairs(group["node"].to_numpy(), unit(group["unit"]), s.told, group["new"].to_numpy(), group["worst"].to_numpy())
+        for rows, cuts in _groups(batches, ["at"], 4 * s.sample):
+            yield _pairs(rows["node"].to_numpy(), unit(rows["unit"]), cuts, s.told, rows["new"].to_numpy(), rows["worst"].to_numpy())
 
     for k in range(s.rounds):
         # The sample: new ones first, then the best.
@@ -185,8 +200,69 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Parts over which the queries of one node are spread.
+#: Parts over which the queries of one node are spread, and the least number of parts of all queries and of buckets of vectors.
 SPREAD = 16
+#: Queries of a part, and vectors of a bucket.
+PART, BUCKET = 256, 16_384
+
+
+def _by(key: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+
+def _lists(rows: pd.DataFrame, column: str) -> dict[int, list[np.ndarray]]:
+    """The arrays of ``column`` for each query."""
+    out: dict[int, list[np.ndarray]] = {}
+    for query, values in zip(rows["query"].tolist(), rows[column]):
+        out.setdefault(query, []).append(values)
+    return out
+
+
+#: What a search holds: its best vectors, those of them that are not expanded yet, those to expand now, and all it has seen.
+STATE = "part int, query long, unit binary, node array<long>, score array<float>, open array<boolean>, next array<long>, seen array<long>"
+
+
+def _hop(state: DataFrame, links: DataFrame, units: DataFrame, parts: int, buckets: int, merge: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """The state after each query's ``next`` were expanded and what they reach was scored."""
+
+    def unseen(own: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
+        near, out = _lists(reached, "near"), []
+        for query, u, seen in zip(own["query"].tolist(), own["unit"], own["seen"]):
+            if query in near:
+                found = np.setdiff1d(np.concatenate(near[query]), seen)
+                bucket = bucket_of(found)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+                out += [(int(bucket[order[a]]), query, u, found[order[a:b]]) for a, b in zip(cuts, cuts[1:])]
+        return pd.DataFrame(out, columns=["bucket", "query", "unit", "node"])
+
+    def bucket_of(nodes: np.ndarray) -> np.ndarray:
+        return (nodes % buckets).astype(np.int32)
+
+    def scores(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame(columns=["query", "node", "score"], dtype=object)
+        order = np.argsort(own["node"].to_numpy())
+        nodes, x, q = own["node"].to_numpy()[order], unit(own["unit"])[order], unit(asked["unit"])
+        ends = np.cumsum([len(a) for a in asked["node"]])
+        at = np.searchsorted(nodes, np.concatenate(asked["node"].tolist()))
+        of = np.repeat(np.arange(len(asked)), np.diff(ends, prepend=0))
+        out = np.empty(len(at), np.float32)
+        for k in range(0, len(at), BUCKET):
+            apart = q[of[k : k + BUCKET]] - x[at[k : k + BUCKET]]
+            out[k : k + BUCKET] = -np.einsum("ij,ij->i", apart, apart)
+        return pd.DataFrame({"query": asked["query"], "node": asked["node"], "score": np.split(out, ends[:-1])})
+
+    def dealt(rows: DataFrame, key: str, count: int) -> GroupedData:
+        # Columns of their own, as both sides come from the state.
+        return rows.toDF(*rows.columns).repartition(count, key).groupBy(key)
+
+    reached = state.select("part", "query", F.explode("next").alias("node")).join(links, "node").select("part", "query", "near")
+    asked = dealt(state.select("part", "query", "unit", "seen"), "part", parts).cogroup(dealt(reached, "part", parts))
+    asked = asked.applyInPandas(unseen, "bucket int, query long, unit binary, node array<long>")
+    scored = dealt(asked, "bucket", buckets).cogroup(dealt(units, "bucket", buckets))
+    scored = scored.applyInPandas(scores, "query long, node array<long>, score array<float>").withColumn("part", _by("query", parts))
+    return dealt(state, "part", parts).cogroup(dealt(scored, "part", parts)).applyInPandas(merge, STATE)
 
 
 def search(rows: DataFrame, points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, settings: Settings | None = None) -> DataFrame:
@@ -202,44 +278,43 @@ def search(rows: DataFrame, points: DataFrame, edges: DataFrame, queries: DataFr
         .where(F.col("rank") <= s.degree)
         .select("src", "dst")
     )
-    links = saved(both.distinct(), "search-graph")
-    units = points.select("node", "unit")
-    asked = saved(queries.select(F.col("node").alias("query")).distinct().join(units.withColumnRenamed("node", "query"), "query"), "queries")
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                apart = unit(batch["asked"]) - unit(batch["unit"])
-                yield pd.DataFrame({"query": batch["query"], "node": batch["node"], "score": -np.einsum("ij,ij->i", apart, apart)})
-
-    frontier = asked.select("query", F.col("query").alias("node"))
-    seen: DataFrame | None = None
-    done = frontier
-    while True:
-        reached = frontier.join(links, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node")).where("query <> node").distinct()
-        if seen is not None:
-            reached = reached.join(seen.select("query", "node"), ["query", "node"], "left_anti")
-        pairs = reached.join(units, "node").join(asked.withColumnRenamed("unit", "asked"), "query").select("query", "node", "unit", "asked")
-        scored = saved(pairs.mapInPandas(near, "query long, node long, score float"), "seen")
-        seen = scored if seen is None else seen.union(scored)
-        top = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-        beam = seen.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= s.beam)
-        rest = beam.join(done, ["query", "node"], "left_anti")
-        frontier = rest.withColumn("turn", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("turn") <= s.width)
-        frontier = saved(frontier.select("query", "node"), "frontier")
-        if not frontier.limit(1).count():
-            break
-        done = done.union(frontier)
-    # Single precision chose these; double precision on the original vectors orders the beam and all that rounding can't tell from the k-th.
-    close = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    ranked = seen.withColumn("rank", F.row_number().over(close))
-    ranked = ranked.withColumn("kth", F.min(F.when(F.col("rank") <= k, F.col("score"))).over(Window.partitionBy("query")))
+    links = saved(both.groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("near")), "search-graph")
+    buckets = max(SPREAD, -(-points.count() // BUCKET))
+    units = points.select("node", "unit", F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"))
+    asked = saved(queries.select("node").distinct().join(units, "node").select(F.col("node").alias("query"), "unit"), "queries")
+    parts = max(SPREAD, -(-asked.count() // PART))
     first = points.select(F.size("v").alias("d")).first()
-    # The units are rounded by 2^-24 of their length, the sum of squares by as much for each component.
-    apart = F.sqrt(-F.col("kth").cast("double"))
-    error = apart * 2.0**-20 + 2.0**-40 - F.col("kth") * (4 * ((first.d if first else 1) + 2) * 2.0**-24)
-    few = ranked.where((F.col("rank") <= max(s.beam, 4 * k)) | (F.col("score") >= F.col("kth") - error)).select("query", "node")
-    few = few.union(asked.select("query", F.col("query").alias("node")))
+    dimension = first.d if first else 1
+
+    def merge(own: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
+        nodes, scores, out = _lists(scored, "node"), _lists(scored, "score"), []
+        for row in own.itertuples(index=False):
+            found = nodes.get(row.query, [])
+            node = np.concatenate([row.node, *found])
+            score = np.concatenate([row.score, *scores.get(row.query, [])])
+            fresh = np.concatenate([row.open, np.ones(len(node) - len(row.node), bool)]).astype(bool)
+            order = np.lexsort((node, -score))
+            if len(order):
+                kth = float(score[order[min(k, len(order)) - 1]])
+                # The units are rounded by 2^-24 of their length, the sum of squares by as much for each component.
+                error = math.sqrt(-kth) * 2.0**-20 + 2.0**-40 - kth * (4 * (dimension + 2) * 2.0**-24)
+                order = order[: max(s.beam, 4 * k, np.count_nonzero(score >= kth - error))]
+            node, score, fresh = node[order], score[order], fresh[order]
+            turn = np.flatnonzero(fresh[: s.beam])[: s.width]
+            fresh[turn] = False
+            out.append((row.part, row.query, row.unit, node, score, fresh, node[turn], np.concatenate([row.seen, *found])))
+        return pd.DataFrame(out, columns=list(own.columns))
+
+    start = asked.select(
+        _by("query", parts).alias("part"), "query", "unit", F.expr("cast(array() as array<long>)").alias("node"),
+        F.expr("cast(array() as array<float>)").alias("score"), F.expr("cast(array() as array<boolean>)").alias("open"),
+        F.array("query").alias("next"), F.array("query").alias("seen"),
+    )
+    state = saved(start, "search")
+    while state.where("size(next) > 0").limit(1).count():
+        state = saved(_hop(state, links, units, parts, buckets, merge), "search")
+    # Single precision chose these; double precision on the original vectors orders the beam and all that rounding can't tell from the k-th.
+    few = state.select("query", F.explode("node").alias("node")).union(asked.select("query", F.col("query").alias("node")))
     a = points.select(F.col("node").alias("query"), F.col("v").alias("a"))
     exact = few.join(a, "query").join(points.select("node", F.col("v").alias("b")), "node").select("query", "node", cosine("a", "b").alias("score"))
     # Of equal vectors the k + 1 of smallest vec_id can be among the nearest, the query's own row being one.

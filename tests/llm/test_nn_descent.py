@@ -1,4 +1,7 @@
+import sys
+
 import numpy as np
+import pandas as pd
 
 from tallyfold.llm import nn_descent
 
@@ -72,3 +75,58 @@ def test_equal_and_nearly_equal_thirds(spark):
         hits[kind] = hits.get(kind, 0) + len(set(ids) & set(own))
         total[kind] = total.get(kind, 0) + 5
     assert all(hits[kind] / total[kind] >= 0.9 for kind in total), (hits, total)
+
+
+def test_groups_are_scored_together():
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 41, 600)
+    x = rng.standard_normal((sizes.sum(), 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = pd.DataFrame({"at": np.repeat(np.arange(600), sizes), "node": rng.integers(0, 9000, len(x)), "unit": [v.tobytes() for v in x]})
+    rows["new"], rows["worst"] = rng.random(len(x)) < 0.5, np.where(rng.random(len(x)) < 0.5, -8.0, -1.5)
+    batches = [rows.iloc[k : k + 1000] for k in range(0, len(rows), 1000)]
+    calls, got = 0, []
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        for part, cuts in nn_descent._groups(iter(batches), ["at"], 30):
+            got.append(nn_descent._pairs(part["node"].to_numpy(), nn_descent.unit(part["unit"]), cuts, 4, part["new"].to_numpy(), part["worst"].to_numpy()))
+    finally:
+        sys.setprofile(None)
+    want = []
+    for _, group in rows.groupby("at"):
+        for at in range(0, len(group), 30):
+            g = group.iloc[at : at + 30].reset_index(drop=True)
+            v = np.stack([np.frombuffer(u, np.float32) for u in g["unit"]]).astype(float)
+            for a in range(len(g)):
+                scores = [(-((v[a] - v[b]) ** 2).sum(), g.node[b]) for b in range(len(g)) if g.node[a] != g.node[b] and (g.new[a] or g.new[b])]
+                want += [(g.node[a], b, s) for s, b in sorted(scores, reverse=True)[:4] if s > g.worst[a]]
+    got = pd.concat(got)
+    got, want = sorted(zip(got.src, got.dst, got.score)), sorted(want)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-6)
+    # Fewer calls than a frame for each group takes.
+    assert calls < 60 * 600
+
+
+def test_a_hop_scores_what_it_reaches_once(spark):
+    points = pd.DataFrame({"node": range(6), "unit": [np.float32([np.cos(a), np.sin(a)]).tobytes() for a in np.arange(6) / 10]})
+    links = spark.createDataFrame([(k, [j for j in (k - 1, k + 1, k + 2) if 0 <= j < 6]) for k in range(6)], "node long, near array<long>")
+    units = spark.createDataFrame(points).selectExpr("node", "unit", "cast(node % 2 as int) as bucket")
+    own = [(0, 7, bytes(points.unit[0]), [1], [-1.0], [False], [1, 2], [7, 0, 1, 2]), (1, 8, bytes(points.unit[5]), [], [], [], [], [8])]
+
+    def merge(state, found):
+        out = state.copy()
+        out["node"] = [np.concatenate([np.empty(0, np.int64), *found.node[found["query"] == q]]) for q in state["query"]]
+        out["score"] = [np.concatenate([np.empty(0, np.float32), *found.score[found["query"] == q]]) for q in state["query"]]
+        return out
+
+    # The parts of the state are those that the scored rows are dealt by.
+    part = {r[0]: r[1] for r in spark.createDataFrame([(7,), (8,)], "q long").select("q", nn_descent._by("q", 2)).collect()}
+    state = spark.createDataFrame([(part[r[1]], *r[1:]) for r in own], nn_descent.STATE)
+    scored = {r["query"]: sorted(zip(r["node"], r["score"])) for r in nn_descent._hop(state, links, units, 2, 2, merge).collect()}
+    assert scored[8] == [] and [n for n, _ in scored[7]] == [3, 4]
+    assert all(abs(s - (2 * np.cos(n / 10) - 2)) < 1e-6 for n, s in scored[7])
