@@ -3,9 +3,10 @@
 The graph starts from blocks of vectors that lie on the same sides of random hyperplanes. Each
 round of NN-descent joins neighbours with neighbours: a vector's sampled neighbours, forward and
 backward, meet at it and learn of each other where that betters their lists. Rounds end
-when few lists change. A search then holds, per query, its best scored vectors and the ids of all it has seen; each hop expands
+when few lists change. A search then holds, per query, its best scored vectors; each hop expands
 its best ones not expanded yet by a join with the graph, until no query has any left. What is reached goes to
-the buckets that hold the vectors, a list for each query and bucket, and comes back with scores.
+the buckets that hold the vectors, a list for each query and bucket, and comes back with scores. What fell out of a query's
+best before is scored again when it is reached again, which costs less than keeping all ids, and falls out again.
 
 Equal vectors are one node of the graph and are told apart by vec_id at the end. Blocks, samples, buckets and parts of the queries are
 bounded, so a group of nearly equal ones can't make a task large; all state lives in written tables. The graph is approximate (recall is measured in the tests); the
@@ -29,7 +30,10 @@ from tallyfold.llm.common import pick, saved
 
 @dataclass(frozen=True)
 class Settings:
-    """degree: neighbours kept; sample: of these met in a round, each way; told: what one meeting tells a vector at most."""
+    """degree: neighbours kept; sample: of these met in a round, each way; told: what one meeting tells a vector at most.
+
+    beam: vectors that a query holds; width: of these expanded in a hop; exact: ordered in double precision at least.
+    """
 
     degree: int = 32
     sample: int = 20
@@ -37,9 +41,10 @@ class Settings:
     rounds: int = 4
     least_change: float = 0.02
     trees: int = 8
-    block: int = 256
-    beam: int = 192
-    width: int = 64
+    block: int = 2048
+    beam: int = 512
+    width: int = 192
+    exact: int = 192
     seed: int = 7
 
 
@@ -83,7 +88,7 @@ def _best(rows: DataFrame, degree: int) -> DataFrame:
 
 def _blocks(points: DataFrame, dimension: int, count: int, s: Settings) -> DataFrame:
     """First edges: the best of each vector's block, for each set of hyperplanes."""
-    bits = max(0, math.ceil(math.log2(max(1, count / s.block))))
+    bits = int(math.log2(max(1, count / s.block)))
     planes = np.random.default_rng(s.seed).standard_normal((s.trees, dimension, bits)).astype(np.float32)
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,18 +223,18 @@ def _lists(rows: pd.DataFrame, column: str) -> dict[int, list[np.ndarray]]:
     return out
 
 
-#: What a search holds: its best vectors, those of them that are not expanded yet, those to expand now, and all it has seen.
-STATE = "part int, query long, unit binary, node array<long>, score array<float>, open array<boolean>, next array<long>, seen array<long>"
+#: What a search holds: its best vectors, those of them that are not expanded yet, those to expand now, and how many may be the nearest.
+STATE = "part int, query long, unit binary, node array<long>, score array<float>, open array<boolean>, next array<long>, few int"
 
 
 def _hop(state: DataFrame, links: DataFrame, units: DataFrame, parts: int, buckets: int, merge: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """The state after each query's ``next`` were expanded and what they reach was scored."""
 
-    def unseen(own: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
+    def unheld(own: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
         near, out = _lists(reached, "near"), []
-        for query, u, seen in zip(own["query"].tolist(), own["unit"], own["seen"]):
+        for query, u, held in zip(own["query"].tolist(), own["unit"], own["node"]):
             if query in near:
-                found = np.setdiff1d(np.concatenate(near[query]), seen)
+                found = np.setdiff1d(np.concatenate(near[query]), [query, *held])
                 bucket = bucket_of(found)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
@@ -258,8 +263,8 @@ def _hop(state: DataFrame, links: DataFrame, units: DataFrame, parts: int, bucke
         return rows.toDF(*rows.columns).repartition(count, key).groupBy(key)
 
     reached = state.select("part", "query", F.explode("next").alias("node")).join(links, "node").select("part", "query", "near")
-    asked = dealt(state.select("part", "query", "unit", "seen"), "part", parts).cogroup(dealt(reached, "part", parts))
-    asked = asked.applyInPandas(unseen, "bucket int, query long, unit binary, node array<long>")
+    asked = dealt(state.select("part", "query", "unit", "node"), "part", parts).cogroup(dealt(reached, "part", parts))
+    asked = asked.applyInPandas(unheld, "bucket int, query long, unit binary, node array<long>")
     scored = dealt(asked, "bucket", buckets).cogroup(dealt(units, "bucket", buckets))
     scored = scored.applyInPandas(scores, "query long, node array<long>, score array<float>").withColumn("part", _by("query", parts))
     return dealt(state, "part", parts).cogroup(dealt(scored, "part", parts)).applyInPandas(merge, STATE)
@@ -293,28 +298,29 @@ def search(rows: DataFrame, points: DataFrame, edges: DataFrame, queries: DataFr
             node = np.concatenate([row.node, *found])
             score = np.concatenate([row.score, *scores.get(row.query, [])])
             fresh = np.concatenate([row.open, np.ones(len(node) - len(row.node), bool)]).astype(bool)
-            order = np.lexsort((node, -score))
+            order, few = np.lexsort((node, -score)), 0
             if len(order):
                 kth = float(score[order[min(k, len(order)) - 1]])
                 # The units are rounded by 2^-24 of their length, the sum of squares by as much for each component.
                 error = math.sqrt(-kth) * 2.0**-20 + 2.0**-40 - kth * (4 * (dimension + 2) * 2.0**-24)
-                order = order[: max(s.beam, 4 * k, np.count_nonzero(score >= kth - error))]
+                few = max(s.exact, 4 * k, np.count_nonzero(score >= kth - error))
+                order = order[: max(s.beam, few)]
             node, score, fresh = node[order], score[order], fresh[order]
             turn = np.flatnonzero(fresh[: s.beam])[: s.width]
             fresh[turn] = False
-            out.append((row.part, row.query, row.unit, node, score, fresh, node[turn], np.concatenate([row.seen, *found])))
+            out.append((row.part, row.query, row.unit, node, score, fresh, node[turn], few))
         return pd.DataFrame(out, columns=list(own.columns))
 
     start = asked.select(
         _by("query", parts).alias("part"), "query", "unit", F.expr("cast(array() as array<long>)").alias("node"),
         F.expr("cast(array() as array<float>)").alias("score"), F.expr("cast(array() as array<boolean>)").alias("open"),
-        F.array("query").alias("next"), F.array("query").alias("seen"),
+        F.array("query").alias("next"), F.lit(0).alias("few"),
     )
     state = saved(start, "search")
     while state.where("size(next) > 0").limit(1).count():
         state = saved(_hop(state, links, units, parts, buckets, merge), "search")
-    # Single precision chose these; double precision on the original vectors orders the beam and all that rounding can't tell from the k-th.
-    few = state.select("query", F.explode("node").alias("node")).union(asked.select("query", F.col("query").alias("node")))
+    # Single precision chose these; double precision on the original vectors orders them and all that rounding can't tell from the k-th.
+    few = state.select("query", F.explode(F.slice("node", F.lit(1), F.col("few"))).alias("node")).union(asked.select("query", F.col("query").alias("node")))
     a = points.select(F.col("node").alias("query"), F.col("v").alias("a"))
     exact = few.join(a, "query").join(points.select("node", F.col("v").alias("b")), "node").select("query", "node", cosine("a", "b").alias("score"))
     # Of equal vectors the k + 1 of smallest vec_id can be among the nearest, the query's own row being one.
